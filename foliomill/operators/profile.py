@@ -10,7 +10,7 @@ from ..functions.columns import clamp, clamp_byte, int_div, to_int
 from .raster import STRIP_COLUMNS, refuse_alpha
 from .tone import rgb_pixels
 
-PROFILE_SCHEMA = "struct<format:string,version:bigint,kind:string,matrix:array<array<double>>,gamma:array<double>>"
+PROFILE_SCHEMA = "struct<format:string,version:bigint,kind:string,matrix:array<array<variant>>,gamma:array<variant>>"
 PROFILE_KIND = "scanner_it8"
 MAX_GAIN = 16.0
 
@@ -94,33 +94,40 @@ def it8_profile(strips: DataFrame) -> DataFrame:
     return gains.withColumn("error", F.when(dead, "capture too dark or a channel is dead"))
 
 
+def _number(v: Column) -> Column:
+    """A JSON number as double; text and other kinds are null."""
+    numeric = F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.when(numeric, F.try_variant_get(v, "$", "double"))
+
+
 def profile_error(p: Column, expected_format: str) -> Column:
     """First violated rule of a parsed profile, null when valid."""
-    finite = lambda v: v.isNotNull() & ~F.isnan(v)
+    sure = lambda test: F.coalesce(test, F.lit(False))
+    within = lambda v: sure(F.abs(_number(v)) <= 16.0)
     return (
-        F.when(~F.coalesce(p["format"] == expected_format, F.lit(False)), "unsupported format")
-        .when(~F.coalesce(p["version"] == 1, F.lit(False)), "unsupported version")
-        .when(~F.coalesce(p["kind"] == PROFILE_KIND, F.lit(False)), "unsupported kind")
-        .when(
-            ~F.coalesce((F.size(p["matrix"]) == 3) & F.forall(p["matrix"], lambda r: F.coalesce(F.size(r) == 3, F.lit(False))), F.lit(False)),
-            "matrix must be 3x3",
-        )
+        F.when(~sure(p["format"] == expected_format), "unsupported format")
+        .when(~sure(p["version"] == 1), "unsupported version")
+        .when(~sure(p["kind"] == PROFILE_KIND), "unsupported kind")
         .when(
-            ~F.forall(p["matrix"], lambda r: F.forall(r, lambda v: F.coalesce(finite(v) & (F.abs(v) <= 16.0), F.lit(False)))),
-            "matrix entry not a number within 16",
-        )
-        .when(~F.coalesce(F.size(p["gamma"]) == 3, F.lit(False)), "gamma must contain three values")
-        .when(
-            ~F.forall(p["gamma"], lambda v: F.coalesce(finite(v) & (v >= 0.05) & (v <= 8.0), F.lit(False))),
-            "gamma entry not within 0.05..8",
+            ~sure((F.size(p["matrix"]) == 3) & F.forall(p["matrix"], lambda r: sure(F.size(r) == 3))), "matrix must be 3x3"
         )
+        .when(~F.forall(p["matrix"], lambda r: F.forall(r, within)), "matrix entry not a number within 16")
+        .when(~sure(F.size(p["gamma"]) == 3), "gamma must contain three values")
+        .when(~F.forall(p["gamma"], lambda v: sure(_number(v).between(0.05, 8.0))), "gamma entry not within 0.05..8")
     )
 
 
 def read_profiles(df: DataFrame, column: str = "profile_json", expected_format: str = "scanner-profile") -> DataFrame:
-    """Parse and validate profile JSON text; ``error`` is null for good ones."""
-    parsed = F.from_json(F.col(column), PROFILE_SCHEMA)
-    return df.withColumn("profile", parsed).withColumn("error", profile_error(F.col("profile"), expected_format))
+    """Parse and validate profile JSON text; ``error`` is null for good ones,
+    which then carry ``matrix`` and ``gamma``."""
+    parsed = df.withColumn("_p", F.from_json(F.col(column), PROFILE_SCHEMA))
+    checked = parsed.withColumn("error", profile_error(F.col("_p"), expected_format))
+    good = F.col("error").isNull()
+    return (
+        checked.withColumn("matrix", F.when(good, F.transform("_p.matrix", lambda r: F.transform(r, _number))))
+        .withColumn("gamma", F.when(good, F.transform("_p.gamma", _number)))
+        .drop("_p")
+    )
 
 
 def apply_profile(strips: DataFrame, profiles: DataFrame, key: str = "profile_id") -> DataFrame:
