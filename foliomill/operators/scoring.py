@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import indices, int_div, let, to_int
 from .geometry import resize_nearest
@@ -13,6 +14,7 @@ from .geometry import resize_nearest
 MAX_ELEMENTS = 16 * 1024 * 1024
 MAX_BATCH = 16
 SAMPLE = 64
+FLOATS = T.ArrayType(T.FloatType())
 
 
 def tensor_size(height: Column, width: Column) -> Column:
@@ -101,7 +103,9 @@ def tensor_prepare(
     return page.select("page_id", F.array(*[F.lit(n) for n in shape]).alias("shape"), tensor.alias("tensor"))
 
 
-def score_pages(tensors: DataFrame, make_predict_fn: Callable, output_type: str = "array<float>", batch_size: int = 16) -> DataFrame:
+def score_pages(
+    tensors: DataFrame, make_predict_fn: Callable, output_type: T.DataType = FLOATS, batch_size: int = 16
+) -> DataFrame:
     """Run a user model over prepared tensors in Arrow batches.
 
     ``make_predict_fn`` follows ``pyspark.ml.functions.predict_batch_udf``: it

@@ -38,26 +38,72 @@ def ink_runs(strips: DataFrame, limit: int = INK_LIMIT) -> DataFrame:
     )
 
 
-def run_edges(runs: DataFrame) -> DataFrame:
-    """Pairs of runs on neighbouring lines that share a column.
+def band_labels(runs: DataFrame, band_rows: int = PAGE_BAND) -> DataFrame:
+    """page_id, width, height, y, x0, x1, node, local: smallest node id that a
+    run reaches inside its own band of lines.
 
-    Runs of one line are disjoint, so a run meets few others; the join key is
-    (page, line), bounded by the axis limit.
+    Joining runs is not expressible as a fixed plan, so each (page, band) group,
+    bounded by the band height, goes through one small Arrow-batched union.
     """
-    at = F.col("y").cast("bigint") * F.col("width") + F.col("x0")
-    upper = runs.select("page_id", (F.col("y") + 1).alias("y"), at.alias("a"), F.col("x0").alias("u0"), F.col("x1").alias("u1"))
-    lower = runs.select("page_id", "y", at.alias("b"), "x0", "x1")
-    return upper.join(lower, ["page_id", "y"]).where("u0 < x1 AND x0 < u1").select("page_id", "a", "b")
+    import numpy as np
+    import pandas as pd
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
+        ys, starts, stops = pdf["y"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy()
+        root = list(range(len(pdf)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        first = np.searchsorted(ys, ys - 1, side="left")
+        last = np.searchsorted(ys, ys - 1, side="right")
+        for i in range(len(pdf)):
+            lo, hi = first[i], last[i]
+            if lo == hi:
+                continue
+            # Runs of a line are disjoint and sorted: the overlapping ones are consecutive.
+            lo += np.searchsorted(stops[lo:hi], starts[i], side="right")
+            while lo < hi and starts[lo] < stops[i]:
+                a, b = find(lo), find(i)
+                root[max(a, b)] = min(a, b)
+                lo += 1
+        node = pdf["node"].to_numpy()
+        pdf["local"] = node[[find(i) for i in range(len(pdf))]]
+        return pdf.drop(columns="band")
+
+    keyed = runs.select(
+        "*",
+        (F.col("y").cast("bigint") * F.col("width") + F.col("x0")).alias("node"),
+        to_int(int_div(F.col("y"), band_rows)).alias("band"),
+    )
+    schema = "page_id bigint, width int, height int, y int, x0 int, x1 int, node bigint, local bigint"
+    return keyed.groupBy("page_id", "band").applyInPandas(unite, schema)
+
+
+def seam_edges(labelled: DataFrame, band_rows: int = PAGE_BAND) -> DataFrame:
+    """Pairs of band-local components that touch across a band boundary.
+
+    Only the last line of a band and the first of the next take part.  Runs of
+    one line are disjoint, so a run meets few others.
+    """
+    upper = labelled.where(F.col("y") % band_rows == band_rows - 1).select(
+        "page_id", (F.col("y") + 1).alias("y"), F.col("local").alias("a"), F.col("x0").alias("u0"), F.col("x1").alias("u1")
+    )
+    lower = labelled.where(F.col("y") % band_rows == 0).select("page_id", "y", F.col("local").alias("b"), "x0", "x1")
+    return upper.join(lower, ["page_id", "y"]).where("u0 < x1 AND x0 < u1").select("page_id", "a", "b").distinct()
 
 
-def component_labels(runs: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """page_id, node, label: smallest node id of each component.
+def merge_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """page_id, u, label: smallest node of each component of the edge list.
 
     Alternating star contraction: each round points every node's neighbours at
-    the smallest of them, which halves long chains.  A round is two shuffles;
-    each result is checkpointed, so a lost executor never replays the loop.
+    the smallest of them, which halves long chains.  A round is a few shuffles;
+    its result is checkpointed, so a lost executor never replays the loop.
     """
-    nodes = runs.select("page_id", (F.col("y").cast("bigint") * F.col("width") + F.col("x0")).alias("node"))
     now = cut_lineage(edges.select("page_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
@@ -66,11 +112,11 @@ def component_labels(runs: DataFrame, edges: DataFrame, max_rounds: int = 64) ->
         large = (
             both.where("v > u").join(low, ["page_id", "u"]).select("page_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        down = large.where("v < u")
-        low = down.groupBy("page_id", "u").agg(F.min("v").alias("m"))
+        low = large.groupBy("page_id", "u").agg(F.min("v").alias("m"))
+        pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         small = (
-            down.join(low, ["page_id", "u"])
-            .select("page_id", F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+            large.join(low, ["page_id", "u"])
+            .select("page_id", F.explode(pair).alias("e"))
             .select("page_id", "e.u", "e.v")
             .where("u <> v")
             .distinct()
@@ -78,23 +124,26 @@ def component_labels(runs: DataFrame, edges: DataFrame, max_rounds: int = 64) ->
         now = cut_lineage(small)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("page_id", "u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
-            break
+            return now.groupBy("page_id", "u").agg(F.min("v").alias("label"))
         before = mark
-    else:
-        raise RuntimeError("component labels did not settle")
-    labels = now.groupBy("page_id", F.col("u").alias("node")).agg(F.min("v").alias("label"))
-    return nodes.join(labels, ["page_id", "node"], "left").withColumn("label", F.coalesce("label", "node"))
+    raise RuntimeError("component labels did not settle")
 
 
-def ink_components(strips: DataFrame, limit: int = INK_LIMIT) -> DataFrame:
-    """Glyph-sized boxes of 4-connected ink: page_id, x0, y0, x1, y1."""
-    runs = cut_lineage(ink_runs(strips, limit))
-    labels = component_labels(runs, run_edges(runs))
-    keyed = runs.withColumn("node", F.col("y").cast("bigint") * F.col("width") + F.col("x0"))
+def ink_components(strips: DataFrame, limit: int = INK_LIMIT, band_rows: int = PAGE_BAND) -> DataFrame:
+    """Glyph-sized boxes of 4-connected ink: page_id, x0, y0, x1, y1.
+
+    Runs are united inside bands first; only the few components that touch a
+    band boundary enter the iterative merge.
+    """
+    labelled = cut_lineage(band_labels(ink_runs(strips, limit), band_rows))
+    merged = merge_labels(seam_edges(labelled, band_rows))
+    parts = labelled.groupBy("page_id", "local", "width", "height").agg(
+        F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1")
+    )
+    whole = parts.join(merged.select("page_id", F.col("u").alias("local"), "label"), ["page_id", "local"], "left")
     box = (
-        keyed.join(labels, ["page_id", "node"])
-        .groupBy("page_id", "label", "width", "height")
-        .agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), (F.max("y") + 1).alias("y1"))
+        whole.groupBy("page_id", F.coalesce("label", "local").alias("label"), "width", "height")
+        .agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), (F.max("y1") + 1).alias("y1"))
     )
     tall, wide = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     keep = tall.between(3, F.greatest(int_div(F.col("height"), 2), F.lit(3))) & wide.between(
@@ -128,19 +177,26 @@ def glyph_match(strips: DataFrame, boxes: DataFrame, limit: int = INK_LIMIT) ->
         return F.aggregate(part, F.lit(0), lambda acc, v: acc + v)
 
     met = lines.join(ink, ["page_id", "y"]).select(
-        "page_id", "x0", "y0", "x1", "y1", (F.col("y") - F.col("y0")).alias("dy"), *[cell(a).alias(f"a{a}") for a in range(5)]
+        "page_id", "x0", "y0", "x1", "y1", (F.col("y") - F.col("y0")).alias("dy"), F.array(*[cell(a) for a in range(5)]).alias("a")
     )
 
-    def filled(z: int, a: int) -> Column:
+    def holds(z: Column) -> Column:
         top, bottom = span(z, height, 7)
-        inside = (F.col("dy") >= top) & (F.col("dy") < bottom)
+        return (F.col("dy") >= top) & (F.col("dy") < bottom)
+
+    # A line feeds one grid row, or several when the box is lower than seven.
+    fed = met.withColumn("z", F.explode(F.filter(F.sequence(F.lit(0), F.lit(6)), holds)))
+    rows = fed.groupBy("page_id", "x0", "y0", "x1", "y1", "z").agg(*[F.sum(F.col("a")[k]).alias(f"n{k}") for k in range(5)])
+
+    def bit(a: int) -> Column:
+        top, bottom = span(F.col("z"), height, 7)
         left, right = span(a, width, 5)
-        count = F.sum(F.when(inside, F.col(f"a{a}")).otherwise(0))
-        area = F.first((bottom - top) * (right - left))
-        return F.when(count * 2 > area, F.lit(1 << (z * 5 + a)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        on = F.col(f"n{a}") * 2 > (bottom - top) * (right - left)
+        return F.when(on, F.lit(1 << a)).otherwise(0)
 
-    bits = sum((filled(z, a) for z in range(7) for a in range(5)), F.lit(0).cast("bigint"))
-    masked = met.groupBy("page_id", "x0", "y0", "x1", "y1").agg(bits.alias("bits"))
+    row_bits = sum((bit(a) for a in range(1, 5)), bit(0)).cast("bigint")
+    shift = F.element_at(F.array(*[F.lit(1 << (5 * z)).cast("bigint") for z in range(7)]), F.col("z") + 1)
+    masked = rows.groupBy("page_id", "x0", "y0", "x1", "y1").agg(F.sum(row_bits * shift).alias("bits"))
     templates = F.array(
         *[
             F.struct(F.lit(n).alias("n"), F.lit(ch).alias("ch"), F.lit(mask).cast("bigint").alias("mask"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import raster_queries, table_queries
+from . import raster_queries, table_queries, text_queries
 
-MODULES = (raster_queries, table_queries)
+MODULES = (raster_queries, table_queries, text_queries)
 
 
 def all_queries() -> dict:
