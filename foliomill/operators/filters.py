@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp_byte, indices, int_div, let, luma, to_int
 from ..functions.scale import PAGE_BAND
+from .raster import STRIP_COLUMNS
 
 # Fixed tier spellings and settings.
 TIER_ALIASES = {
@@ -35,18 +36,8 @@ def tier_of(label: str, value: str | None) -> str | None:
 
 def with_neighbours(strips: DataFrame, radius: int, band_rows: int = PAGE_BAND) -> DataFrame:
     """Add ``up_1..up_r`` and ``down_1..down_r``; null beyond the page edge."""
-    band = F.explode(
-        F.array_distinct(
-            F.array(
-                to_int(int_div(F.greatest(F.col("y") - radius, F.lit(0)), band_rows)),
-                to_int(int_div(F.col("y"), band_rows)),
-                to_int(int_div(F.least(F.col("y") + radius, F.col("height") - 1), band_rows)),
-            )
-        )
-    )
     near = Window.partitionBy("page_id", "_band").orderBy("y")
-    out = strips.withColumn("_band", band)
-    out = out.select(
+    out = banded(strips, radius, band_rows).select(
         "*",
         *[F.lag("row", k).over(near).alias(f"up_{k}") for k in range(1, radius + 1)],
         *[F.lead("row", k).over(near).alias(f"down_{k}") for k in range(1, radius + 1)],
@@ -67,26 +58,57 @@ def _replicated_lines(radius: int) -> list[Column]:
     return [chain("up", k) for k in range(radius, 0, -1)] + [F.col("row")] + [chain("down", k) for k in range(1, radius + 1)]
 
 
-def _pad(row: Column, bpp: Column, radius: int) -> Column:
-    first = F.slice(row, F.lit(1), bpp)
-    last = F.slice(row, F.size(row) - bpp + 1, bpp)
-    return F.concat(F.flatten(F.array_repeat(first, radius)), row, F.flatten(F.array_repeat(last, radius)))
-
-
-def median_row(radius: int) -> Column:
-    """Median line of the (2r+1)^2 box with replicated edges, per channel."""
-    bpp, side = F.col("bpp"), 2 * radius + 1
-    padded = F.array(*[_pad(line, bpp, radius) for line in _replicated_lines(radius)])
-
-    def box(lines: Column, i: Column) -> Column:
-        return F.sort_array(F.array(*[lines[j][i + bpp * k] for j in range(side) for k in range(side)]))
-
-    return let(padded, lambda lines: F.transform(indices(F.size("row")), lambda i: box(lines, i)[side * side // 2]))
+def banded(strips: DataFrame, radius: int, band_rows: int = PAGE_BAND) -> DataFrame:
+    """Strips with the band they are needed in: their own and, within
+    ``radius`` of a boundary, the neighbour's."""
+    y = F.col("y")
+    bands = F.array_distinct(
+        F.array(
+            *[
+                to_int(int_div(at, band_rows))
+                for at in (F.greatest(y - radius, F.lit(0)), y, F.least(y + radius, F.col("height") - 1))
+            ]
+        )
+    )
+    return strips.withColumn("_band", F.explode(bands))
 
 
 def with_median(strips: DataFrame, radius: int, out: str = "_median", band_rows: int = PAGE_BAND) -> DataFrame:
-    radius = max(1, radius)
-    return drop_neighbours(with_neighbours(strips, radius, band_rows).withColumn(out, median_row(radius)), radius)
+    """Add the median line of the (2r+1)^2 box, edges replicated, per channel.
+
+    Ordering a box of samples per sample is not something a built-in expression
+    does well (array sorts inside lambdas took ten times as long), so one band
+    at a time goes to NumPy as an Arrow table.  Spark still does the cutting:
+    a group is at most ``band_rows + 2 * radius`` lines of one page.
+    """
+    r = max(1, radius)
+    side = 2 * r + 1
+
+    def medians(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("y")
+        width, bpp = table["width"][0].as_py(), table["bpp"][0].as_py()
+        lines = table["row"].combine_chunks().flatten().to_numpy().astype(np.uint8).reshape(len(table), width, bpp)
+        padded = np.pad(lines, ((r, r), (r, r), (0, 0)), mode="edge")
+        own = np.flatnonzero(table["y"].to_numpy() // band_rows == table["_band"].to_numpy())
+        found = np.empty((len(own), width * bpp), dtype=np.int32)
+        step = max(1, 4_000_000 // (side * side * width * bpp))
+        for start in range(0, len(own), step):
+            part = own[start : start + step]
+            boxes = np.stack(
+                [padded[part + dy, dx : dx + width].reshape(len(part), -1) for dy in range(side) for dx in range(side)], axis=-1
+            )
+            boxes.partition(side * side // 2, axis=-1)
+            found[start : start + step] = boxes[..., side * side // 2]
+        offsets = np.arange(len(own) + 1, dtype=np.int32) * (width * bpp)
+        kept = table.select(STRIP_COLUMNS).take(pa.array(own))
+        return kept.append_column(out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1))))
+
+    schema = "page_id bigint, width int, height int, bpp int, y int, row array<int>, " + f"`{out}` array<int>"
+    parts = banded(strips.select(STRIP_COLUMNS), r, band_rows)
+    return parts.groupBy("page_id", "_band").applyInArrow(medians, schema)
 
 
 def median(strips: DataFrame, radius: int = 1, band_rows: int = PAGE_BAND) -> DataFrame:

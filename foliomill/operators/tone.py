@@ -125,11 +125,17 @@ def saturation(strips: DataFrame, amount: float) -> DataFrame:
         return strips
     factor = 1.0 + amount / 100.0
 
-    def scaled(r: Column, g: Column, b: Column) -> list[Column]:
-        y = luma(r, g, b)
-        return [clamp_byte(y + (v - y) * F.lit(factor)) for v in (r, g, b)]
+    bpp = F.col("bpp")
 
-    return map_rgb(strips, scaled, "saturation")
+    def pixel(r: Column, at: Column) -> Column:
+        return let(
+            luma(r[at], r[at + 1], r[at + 2]),
+            lambda y: F.array(*[clamp_byte(y + (r[at + k] - y) * F.lit(factor)) for k in range(3)]),
+        )
+
+    mapped = let(F.col("row"), lambda r: F.flatten(F.transform(indices(F.col("width")), lambda x: pixel(r, x * 3))))
+    row = F.when(bpp == 1, F.col("row")).otherwise(mapped)
+    return strips.withColumn("row", refuse_alpha("saturation", row))
 
 
 def hue_shift(strips: DataFrame, degrees: float) -> DataFrame:
@@ -138,41 +144,48 @@ def hue_shift(strips: DataFrame, degrees: float) -> DataFrame:
     if abs(shift) < 1e-9:
         return strips
 
-    def turned(r: Column, g: Column, b: Column) -> Column:
-        rf, gf, bf = (v / F.lit(255.0) for v in (r, g, b))
-        top, low = F.greatest(rf, gf, bf), F.least(rf, gf, bf)
-        delta = top - low
+    # Each step is bound once; the tree would otherwise repeat it per use.
+    def parts(r: Column, at: Column) -> Column:
+        return F.struct(*[(r[at + k] / F.lit(255.0)).alias(n) for k, n in enumerate("rgb")])
+
+    def extent(p: Column) -> Column:
+        top = F.greatest(p["r"], p["g"], p["b"])
+        return F.struct(top.alias("top"), (top - F.least(p["r"], p["g"], p["b"])).alias("delta"))
+
+    def polar(p: Column, e: Column) -> Column:
+        top, delta = e["top"], e["delta"]
         hue = (
             F.when(delta < 1e-9, F.lit(0.0))
-            .when(F.abs(top - rf) < 1e-12, F.pmod((gf - bf) / delta, F.lit(6.0)) * 60.0)
-            .when(F.abs(top - gf) < 1e-12, ((bf - rf) / delta + 2.0) * 60.0)
-            .otherwise(((rf - gf) / delta + 4.0) * 60.0)
+            .when(F.abs(top - p["r"]) < 1e-12, F.pmod((p["g"] - p["b"]) / delta, F.lit(6.0)) * 60.0)
+            .when(F.abs(top - p["g"]) < 1e-12, ((p["b"] - p["r"]) / delta + 2.0) * 60.0)
+            .otherwise(((p["r"] - p["g"]) / delta + 4.0) * 60.0)
         )
         sat = F.when((delta < 1e-9) | (top == 0), F.lit(0.0)).otherwise(delta / top)
-        return let(
-            F.struct(F.pmod(hue + shift, F.lit(360.0)).alias("h"), (top * sat).alias("c"), top.alias("v")),
-            lambda p: let(
-                F.struct(
-                    to_int(F.floor(p["h"] / 60.0)).alias("sector"),
-                    p["c"].alias("c"),
-                    (p["c"] * (F.lit(1.0) - F.abs(F.pmod(p["h"] / 60.0, F.lit(2.0)) - 1.0))).alias("x"),
-                    (p["v"] - p["c"]).alias("m"),
-                ),
-                lambda q: F.transform(
-                    F.array(
-                        F.when(q["sector"].isin(0, 5), q["c"]).when(q["sector"].isin(1, 4), q["x"]).otherwise(0.0),
-                        F.when(q["sector"].isin(1, 2), q["c"]).when(q["sector"].isin(0, 3), q["x"]).otherwise(0.0),
-                        F.when(q["sector"].isin(3, 4), q["c"]).when(q["sector"].isin(2, 5), q["x"]).otherwise(0.0),
-                    ),
-                    lambda part: clamp_byte((part + q["m"]) * 255.0),
-                ),
-            ),
+        return F.struct((F.pmod(hue + shift, F.lit(360.0)) / 60.0).alias("h"), (top * sat).alias("c"), top.alias("v"))
+
+    def levels_of(q: Column) -> Column:
+        """The three byte values a pixel of this chroma can take."""
+        low = q["v"] - q["c"]
+        middle = q["c"] * (F.lit(1.0) - F.abs(F.pmod(q["h"], F.lit(2.0)) - 1.0))
+        return F.struct(
+            to_int(F.floor(q["h"])).alias("sector"),
+            *[clamp_byte((part + low) * 255.0).alias(n) for part, n in ((q["c"], "c"), (middle, "x"), (F.lit(0.0), "o"))],
         )
 
+    def placed(t: Column) -> Column:
+        order = ("cxo", "xco", "ocx", "oxc", "xoc")
+        out = F.array(t["c"], t["o"], t["x"])
+        for sector, names in enumerate(order):
+            out = F.when(t["sector"] == sector, F.array(*[t[n] for n in names])).otherwise(out)
+        return out
+
+    def turned(r: Column, at: Column) -> Column:
+        return let(parts(r, at), lambda p: let(let(let(extent(p), lambda e: polar(p, e)), levels_of), placed))
+
     mapped = let(
         F.col("row"),
         lambda r: F.flatten(
-            F.transform(indices(F.col("width")), lambda x: turned(r[x * 3], r[x * 3 + 1], r[x * 3 + 2]))
+            F.transform(indices(F.col("width")), lambda x: turned(r, x * 3))
         ),
     )
     row = F.when(F.col("bpp") == 1, F.col("row")).otherwise(mapped)

@@ -28,6 +28,19 @@ def _add(name, build, sql=None):
 _add(
     "ink_components",
     lambda spark, sf: textlayer.ink_components(page_strips(spark, sf, "Gray8")),
+    px_sql("Gray8").replace("WITH raw", "WITH RECURSIVE raw") + """,
+b AS (SELECT page_id, width, height, y, x, v < 128 AS ink, coalesce(lag(v < 128) OVER (PARTITION BY page_id, y ORDER BY x), false) AS before FROM px),
+s AS (SELECT *, sum(CASE WHEN ink AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y, x) AS run FROM b),
+runs AS (SELECT page_id, width, height, run, y, min(x) AS x0, max(x) + 1 AS x1 FROM s WHERE ink GROUP BY ALL),
+touch AS (SELECT a.page_id, a.run AS p, c.run AS q FROM runs a JOIN runs c ON c.page_id = a.page_id AND c.y = a.y + 1 AND c.x0 < a.x1 AND a.x0 < c.x1),
+edges AS (SELECT page_id, p, q FROM touch UNION ALL SELECT page_id, q, p FROM touch),
+cc(page_id, run, label) USING KEY (page_id, run) AS (
+  SELECT page_id, run, run AS label FROM runs
+  UNION
+  SELECT r.page_id, r.run, min(cc.label) AS label FROM cc JOIN edges e ON e.page_id = cc.page_id AND e.p = cc.run
+    JOIN recurring.cc r ON r.page_id = e.page_id AND r.run = e.q WHERE cc.label < r.label GROUP BY r.page_id, r.run),
+box AS (SELECT r.page_id, label, width, height, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y) + 1 AS y1 FROM runs r JOIN cc USING (page_id, run) GROUP BY ALL)
+SELECT page_id, x0, y0, x1, y1 FROM box WHERE y1 - y0 BETWEEN 3 AND greatest(height // 2, 3) AND x1 - x0 BETWEEN 1 AND greatest(width * 2 // 5, 1)""",
 )
 _add(
     "ink_runs",
