@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import indices, int_div, let, luma, to_int
+from ..functions.scale import join_page_stats
 
 # Fixed limits of one decoded page.
 MAX_AXIS = 65_535
@@ -103,7 +104,7 @@ def from_pixels(pixels: DataFrame, shape: DataFrame) -> DataFrame:
     lines = pixels.groupBy("page_id", "y").agg(
         F.sort_array(F.collect_list(F.struct("x", "c", "v"))).alias("_samples")
     )
-    return lines.join(shape, "page_id").select(
+    return join_page_stats(lines, shape).select(
         "page_id", "width", "height", "bpp", "y", F.transform("_samples", lambda s: s["v"]).alias("row")
     )
 

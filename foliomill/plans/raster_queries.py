@@ -637,6 +637,25 @@ _register(
     ),
     px_sql() + "," + _IT8 + "\nSELECT page_id, patch, round(CAST(mean_r AS DOUBLE), 9) AS mean_r, round(CAST(mean_g AS DOUBLE), 9) AS mean_g, round(CAST(mean_b AS DOUBLE), 9) AS mean_b FROM means",
 )
+
+
+def _chart_residuals(spark, sf):
+    """How far every measured patch is from its reference colour."""
+    joined = profile.it8_patch_means(page_strips(spark, sf)).join(profile.it8_reference(spark), "patch")
+    return joined.select(
+        "page_id", "patch", *[F.round(F.col(f"mean_{n}") - F.col(f"ref_{n}"), 9).alias(f"off_{n}") for n in "rgb"]
+    )
+
+
+_register(
+    "it8_reference",
+    _chart_residuals,
+    px_sql() + "," + _IT8 + """,
+base AS (SELECT * FROM (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1), (3, 1, 1, 0), (4, 0, 1, 1), (5, 1, 0, 1)) t(k, r, g, b)),
+ref AS (SELECT CAST(j * 6 + k AS INT) AS patch, r * s AS r, g * s AS g, b * s AS b FROM base, (SELECT unnest(range(4)) AS j, unnest([1.0, 0.75, 0.5, 0.3]::DOUBLE[]) AS s)
+  UNION ALL SELECT CAST(24 + i AS INT), i / 5.0::DOUBLE, i / 5.0::DOUBLE, i / 5.0::DOUBLE FROM range(6) t(i))
+SELECT page_id, patch, round(CAST(mean_r AS DOUBLE) - r, 9) AS off_r, round(CAST(mean_g AS DOUBLE) - g, 9) AS off_g, round(CAST(mean_b AS DOUBLE) - b, 9) AS off_b FROM means JOIN ref USING (patch)""",
+)
 # Each channel of the reference sums to 3 * (1 + .75 + .5 + .3) + 3.
 _register(
     "it8_profile",

@@ -440,6 +440,22 @@ _add(
 )
 
 
+def _page_arrivals(spark, sf):
+    """Pages taken from the stream in order, each exactly once."""
+    root = fresh_shared_path(spark, "page-arrivals")
+    pages = _stream(spark, sf, "pages").selectExpr("page_id AS number", "url AS path", "encode(html, 'UTF-8') AS content")
+
+    def keep(batch, batch_id):
+        kept = batch.select("number", "path", F.sha2("content", 256).alias("sha256"))
+        kept.write.mode("overwrite").parquet(f"{root}/pages/trigger={batch_id}")
+
+    page_stream.run_page_stream(pages, keep, f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/pages").drop("trigger")
+
+
+_add("page_stream", _page_arrivals, "SELECT page_id AS number, url AS path, sha256(html) AS sha256 FROM pages")
+
+
 def _page_stats(spark, sf):
     width, _ = SHAPES["Gray8"]
     docs = _stream(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.encode("text", "UTF-8").alias("_raw"))
