@@ -497,7 +497,7 @@ UNION ALL SELECT p_partkey, 'adf_duplex', 'range', NULL, NULL, p_size + 50, p_si
 
 def _pick(spark, sf):
     requests = table(spark, sf, "lineitem").selectExpr(
-        "concat(l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey) AS request_id", "l_partkey AS device",
+        "concat(l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey, '-', CAST(l_quantity AS INT)) AS request_id", "l_partkey AS device",
         "CAST(l_quantity * 13 AS INT) AS dpi_x", "CAST(l_quantity * 17 AS INT) AS dpi_y",
     )
     parts = table(spark, sf, "part").where("p_size % 6 <> 0")
@@ -516,7 +516,7 @@ def _pick(spark, sf):
 _add(
     "resolution_pick",
     _pick,
-    """WITH rq AS (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey) AS request_id, l_partkey AS device, CAST(l_quantity * 13 AS INT) AS dpi_x, CAST(l_quantity * 17 AS INT) AS dpi_y FROM lineitem),
+    """WITH rq AS (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey, '-', CAST(l_quantity AS INT)) AS request_id, l_partkey AS device, CAST(l_quantity * 13 AS INT) AS dpi_x, CAST(l_quantity * 17 AS INT) AS dpi_y FROM lineitem),
 p AS (SELECT * FROM part WHERE p_size % 6 <> 0),
 sx AS (SELECT rq.*, p_size, p_size + 50 AS lo, p_size * 30 AS hi, p_size + 50 + ((least(greatest(dpi_x, p_size + 50), p_size * 30) - p_size - 50) + 12) // 25 * 25 AS nx,
    75 + ((least(greatest(dpi_y, 75), 700) - 75) + 25) // 50 * 50 AS ny FROM rq JOIN p ON device = p_partkey),
@@ -820,7 +820,9 @@ def _reconcile(spark, sf):
 _add(
     "output_reconcile",
     _reconcile,
-    f"WITH {_MAN} SELECT job_id, path, CASE WHEN quantity <= 10 THEN 'missing' WHEN quantity >= 40 THEN 'unexpected' ELSE 'published' END AS status FROM man",
+    f"""WITH {_MAN}, asked AS (SELECT DISTINCT job_id, path FROM man WHERE quantity < 40), made AS (SELECT DISTINCT job_id, path FROM man WHERE quantity > 10)
+SELECT job_id, path, CASE WHEN made.p IS NULL THEN 'missing' WHEN asked.p IS NULL THEN 'unexpected' ELSE 'published' END AS status
+FROM (SELECT *, path AS p FROM asked) asked FULL JOIN (SELECT *, path AS p FROM made) made USING (job_id, path)""",
 )
 
 # --- translations ----------------------------------------------------------
