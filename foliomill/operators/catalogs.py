@@ -49,7 +49,7 @@ def resolve_columns(query: Column, catalog: list[dict] | None = None) -> Column:
     No join and no shuffle.
     """
     entries = _entries(catalog)
-    trimmed = F.regexp_replace(query, r"^\s+|\s+$", "")
+    trimmed = F.regexp_replace(query, r"(?U)^\s+|\s+$", "")
     lowered, vid = F.lower(trimmed), vid_of(trimmed)
 
     def hit(entry: dict, by: str, message: Column) -> Column:
@@ -118,9 +118,9 @@ def manufacturer_summary(devices: DataFrame, column: str = "name") -> DataFrame:
 
 def device_list(lines: DataFrame, column: str, id_prefix: str, display_prefix: str, kind: str) -> DataFrame:
     """``id|name`` lines to device rows; a line without a bar is both."""
-    line = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
+    line = F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", "")
     parts = F.split(line, r"\|", 2)
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     ident = strip(parts[0])
     name = F.when(F.size(parts) > 1, strip(F.get(parts, F.lit(1)))).otherwise(line)
     keep = [c for c in lines.columns if c != column]

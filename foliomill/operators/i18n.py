@@ -11,7 +11,7 @@ from ..functions.scale import salted_join
 
 def lang_normalize(language: Column, languages: tuple[str, ...] = CATALOG_LANGUAGES) -> Column:
     """Catalog code of a language tag; unknown tags fall back to English."""
-    tag = F.regexp_replace(F.lower(F.regexp_replace(language, r"^\s+|\s+$", "")), "_", "-")
+    tag = F.regexp_replace(F.lower(F.regexp_replace(language, r"(?U)^\s+|\s+$", "")), "_", "-")
     parts = F.split(tag, "-")
     primary = F.when(parts[0] == "", "en").otherwise(parts[0])
     has = lambda *subtags: F.arrays_overlap(parts, F.array(*[F.lit(s) for s in subtags]))

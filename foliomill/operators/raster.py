@@ -110,20 +110,18 @@ def from_pixels(pixels: DataFrame, shape: DataFrame) -> DataFrame:
 
 
 def strips_to_pages(strips: DataFrame) -> DataFrame:
-    """Strips back to packed pages (bounded by the page byte limit)."""
+    """Strips back to packed pages (bounded by the page byte limit).
+
+    The lines are joined once, as text with one character per byte; folding
+    them with ``concat`` would copy the growing page for every line.
+    """
+    lines = F.sort_array(F.collect_list(F.struct("y", F.array_join(F.transform("row", lambda v: F.char(v)), "").alias("text"))))
+    fmt = F.when(F.col("bpp") == 1, "Gray8").when(F.col("bpp") == 3, "Rgb8").otherwise("Rgba8")
+    whole = F.array_join(F.transform("_lines", lambda s: s["text"]), "")
     return (
-        strips.withColumn("_packed", pack_bytes(F.col("row")))
-        .groupBy("page_id", "width", "height", "bpp")
-        .agg(F.sort_array(F.collect_list(F.struct("y", "_packed"))).alias("_lines"))
-        .select(
-            "page_id",
-            "width",
-            "height",
-            F.when(F.col("bpp") == 1, "Gray8").when(F.col("bpp") == 3, "Rgb8").otherwise("Rgba8").alias("fmt"),
-            F.aggregate(
-                "_lines", F.lit(b"").cast("binary"), lambda acc, s: F.concat(acc, s["_packed"])
-            ).alias("content"),
-        )
+        strips.groupBy("page_id", "width", "height", "bpp")
+        .agg(lines.alias("_lines"))
+        .select("page_id", "width", "height", fmt.alias("fmt"), F.encode(whole, "ISO-8859-1").alias("content"))
     )
 
 

@@ -119,9 +119,9 @@ def tier_column(value: Column) -> Column:
 
 def curve_parse(text: Column) -> Column:
     """Struct(points, error) from ``x:y,x:y``; blank text is no curve."""
-    body = F.regexp_replace(text, r"^\s+|\s+$", "")
+    body = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     parts = F.transform(F.split(body, ","), lambda p: F.split(p, ":"))
-    number = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "").try_cast("int")
+    number = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "").try_cast("int")
 
     def checked(ps: Column, p: Column, i: Column) -> Column:
         x, y = number(p[0]), number(F.get(p, F.lit(1)))
@@ -167,7 +167,7 @@ def output_name_error(name: Column) -> Column:
 
 def ocr_language_error(language: Column, engine: Column) -> Column:
     """Length, control characters, and the one language of the small engine."""
-    text = F.regexp_replace(language, r"^\s+|\s+$", "")
+    text = F.regexp_replace(language, r"(?U)^\s+|\s+$", "")
     return (
         F.when((text == "") | (F.octet_length(text) > MAX_LANGUAGE_BYTES), "length")
         .when(text.rlike(r"\p{Cc}"), "control characters")

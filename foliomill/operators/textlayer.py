@@ -309,7 +309,7 @@ def ocr_words(tsv: DataFrame, column: str = "tsv") -> DataFrame:
     return lines.where(F.size(parts) > 11).select(
         "page_id",
         parts[0].alias("level"),
-        F.regexp_replace(parts[10], r"^\s+|\s+$", "").try_cast("double").alias("conf"),
+        F.regexp_replace(parts[10], r"(?U)^\s+|\s+$", "").try_cast("double").alias("conf"),
         parts[11].alias("text"),
     )
 
@@ -328,7 +328,7 @@ def ocr_confidence(words: DataFrame, pages: DataFrame) -> DataFrame:
 
 def direct_text(text: Column) -> Column:
     """Trimmed text, or the placeholder when nothing was read."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     return F.when(F.coalesce(trimmed, F.lit("")) == "", NO_TEXT).otherwise(trimmed)
 
 

@@ -139,20 +139,20 @@ def page_kernel(
     strips: DataFrame,
     prefs: dict,
     profiles: DataFrame | None = None,
-    profile_key: str = "profile_id",
+    profile_id: int = 0,
     extra_white_balance: bool = False,
     recognize: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Plan, optional extra white balance, optional profile, optional text.
 
+    ``profiles`` has profile_id, matrix, gamma; ``profile_id`` names the one to use.
     Returns the final strips and the text table (page_id, text, confidence).
     """
     out = process_pages(strips, prefs)
     if extra_white_balance:
         out = tone.white_balance(out)
     if profiles is not None:
-        bound = out.withColumn(profile_key, F.lit(0).cast(profiles.schema[profile_key].dataType))
-        out = profile.apply_profile(bound, profiles, profile_key)
+        out = profile.apply_profile(out.withColumn("profile_id", F.lit(profile_id)), profiles)
     texts = recognize(out) if recognize else None
     return out, texts
 
