@@ -25,8 +25,12 @@ def _byte(value: float) -> int:
 
 
 def colour_samples(row: Column, bpp: Column, fn: Callable[[Column], Column]) -> Column:
-    """Apply ``fn`` to every sample except the alpha sample."""
-    return F.transform(row, lambda v, i: F.when((bpp == 4) & (i % 4 == 3), v).otherwise(fn(v)))
+    """Apply ``fn`` to every sample except the alpha sample.
+
+    The layout is tested once per line, not once per sample.
+    """
+    with_alpha = F.transform(row, lambda v, i: F.when(i % 4 == 3, v).otherwise(fn(v)))
+    return F.when(bpp == 4, with_alpha).otherwise(F.transform(row, lambda v: fn(v)))
 
 
 def apply_lut(strips: DataFrame, table: Sequence[int]) -> DataFrame:
@@ -247,21 +251,22 @@ def sample_counts(strips: DataFrame, pooled: bool = False) -> DataFrame:
 
 def page_histogram(strips: DataFrame) -> DataFrame:
     """page_id, channel (gray | r g b luma), pixels, bins ARRAY<BIGINT>[256]."""
+    # Channels stay small integers until the counts are in: 0 1 2 are r g b,
+    # 3 is alpha (left out), 4 is luma and 5 gray.
     colour = strips.where("bpp > 1")
     luma_part = colour.withColumn("row", luma_row(F.col("row"), F.col("bpp"))).select(
-        "page_id", F.lit("luma").alias("channel"), F.explode("row").alias("v")
+        "page_id", F.lit(4).alias("c"), F.explode("row").alias("v")
     )
-    names = F.array(F.lit("r"), F.lit("g"), F.lit("b"), F.lit("a"))
     plain = strips.select("page_id", "bpp", F.posexplode("row").alias("i", "v")).select(
-        "page_id",
-        F.when(F.col("bpp") == 1, "gray").otherwise(names[F.col("i") % F.col("bpp")]).alias("channel"),
-        "v",
+        "page_id", F.when(F.col("bpp") == 1, 5).otherwise(F.col("i") % F.col("bpp")).alias("c"), "v"
     )
+    names = F.array(*[F.lit(n) for n in ("r", "g", "b", "a", "luma", "gray")])
     counts = (
-        plain.where("channel <> 'a'")
+        plain.where("c <> 3")
         .unionByName(luma_part)
-        .groupBy("page_id", "channel", "v")
+        .groupBy("page_id", "c", "v")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select("page_id", names[F.col("c")].alias("channel"), "v", "n")
     )
     sums = counts.groupBy("page_id", "channel").agg(
         F.sum("n").alias("pixels"),
@@ -367,16 +372,21 @@ def auto_level_points(strips: DataFrame, clip_percent: float = 0.5) -> DataFrame
 
 
 def auto_levels(strips: DataFrame, clip_percent: float = 0.5) -> DataFrame:
-    joined = join_page_stats(strips, auto_level_points(strips, clip_percent), "left")
+    """Stretch between the page's own points.
+
+    The points become one 256-entry table per page before the join, so a sample
+    costs one look-up.
+    """
     black, white = F.col("black"), F.col("white")
     span = F.greatest(white - black, F.lit(1))
-    mapped = colour_samples(
-        F.col("row"),
-        F.col("bpp"),
-        lambda v: clamp_byte(clamp((v - black) / span, 0.0, 1.0) * 255.0),
+    table = F.transform(
+        F.sequence(F.lit(0), F.lit(255)), lambda v: clamp_byte(clamp((v - black) / span, 0.0, 1.0) * 255.0)
     )
-    flat = (white <= black) | ((black == 0) & (white == 255))
-    return joined.withColumn("row", F.when(flat, F.col("row")).otherwise(mapped)).drop("black", "white")
+    kept = (white <= black) | ((black == 0) & (white == 255))
+    tables = auto_level_points(strips, clip_percent).select("page_id", F.when(~kept, table).alias("_table"))
+    joined = join_page_stats(strips, tables, "left")
+    mapped = colour_samples(F.col("row"), F.col("bpp"), lambda v: F.col("_table")[v])
+    return joined.withColumn("row", F.when(F.col("_table").isNull(), F.col("row")).otherwise(mapped)).drop("_table")
 
 
 def fading_points(strips: DataFrame) -> DataFrame:
@@ -424,14 +434,18 @@ def stretch(v: Column, low: Column, high: Column) -> Column:
 
 
 def restore_fading(strips: DataFrame) -> DataFrame:
-    joined = join_page_stats(strips, fading_points(strips), "left")
+    """Per-channel stretch and soft gray-world gain, as one table per page and channel."""
+
+    def table(c: int) -> Column:
+        def restored(v: Column) -> Column:
+            return clamp_byte(stretch(v, F.col(f"_low{c}"), F.col(f"_high{c}")) * F.col(f"_gain{c}"))
 
-    def restored(c: int, v: Column) -> Column:
-        return clamp_byte(stretch(v, F.col(f"_low{c}"), F.col(f"_high{c}")) * F.col(f"_gain{c}"))
+        return F.transform(F.sequence(F.lit(0), F.lit(255)), restored).alias(f"_t{c}")
 
+    tables = fading_points(strips).select("page_id", *[table(c) for c in range(3)])
+    joined = join_page_stats(strips, tables, "left")
     mapped = rgb_pixels(
-        F.col("row"), F.col("bpp"), F.col("width"), lambda r, g, b: [restored(c, v) for c, v in enumerate((r, g, b))]
+        F.col("row"), F.col("bpp"), F.col("width"), lambda r, g, b: [F.col(f"_t{c}")[v] for c, v in enumerate((r, g, b))]
     )
     row = F.when(F.col("bpp") == 1, F.col("row")).otherwise(mapped)
-    drop = [f"_{name}{c}" for c in range(3) for name in ("low", "high", "gain")]
-    return joined.withColumn("row", row).drop(*drop)
+    return joined.withColumn("row", row).drop("_t0", "_t1", "_t2")
