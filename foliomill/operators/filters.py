@@ -77,7 +77,7 @@ def with_median(strips: DataFrame, radius: int, out: str = "_median", band_rows:
     """Add the median line of the (2r+1)^2 box, edges replicated, per channel.
 
     Ordering a box of samples per sample is not something a built-in expression
-    does well (array sorts inside lambdas took ten times as long), so one band
+    does well (array sorts inside lambdas took about four times as long), so one band
     at a time goes to NumPy as an Arrow table.  Spark still does the cutting:
     a group is at most ``band_rows + 2 * radius`` lines of one page.
     """

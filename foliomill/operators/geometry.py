@@ -212,7 +212,7 @@ def projection_moments(lines: DataFrame, angles: list[float]) -> DataFrame:
     """page_id, i, k, s, q: per angle the occupied bins, samples and squared counts.
 
     Each sample falls into one bin per angle.  As rows that is sixty times the
-    input through a hash aggregate (six times slower), so the grid of one page,
+    input through a hash aggregate (about three times slower), so the grid of one page,
     which the grid step keeps small, is counted as one Arrow table and leaves
     three integers per angle.
     """
