@@ -136,11 +136,11 @@ def words(
     )
 
 
-def text_slices(offsets: np.ndarray, limit: int = PIECE) -> list[tuple[int, int]]:
-    """Runs of whole texts of about ``limit`` bytes; a longer text is a run of its own."""
+def text_slices(offsets: np.ndarray, limit: int = PIECE, most: int = 4096) -> list[tuple[int, int]]:
+    """Runs of at most ``most`` whole texts of about ``limit`` bytes; a longer text is a run of its own."""
     out, at, n = [], 0, len(offsets) - 1
     while at < n:
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-        out.append((at, min(stop, n)))
+        out.append((at, min(stop, at + most, n)))
         at = out[-1][1]
     return out
