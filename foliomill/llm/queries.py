@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, wu_manber
-from .common import table
+from . import bradley_terry, ecoc_langid, fm_toxicity, minhash_dedup, wu_manber
+from .common import held_out, table
+from .learning import CUT
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _judged(scores: DataFrame, out: Column) -> DataFrame:
+    return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    model = fm_toxicity.learn(docs, table(spark, sf_dir, "labels"), ~out)
+    return _judged(fm_toxicity.scored(docs, model), out)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = bradley_terry.learn(docs, table(spark, sf_dir, "labels"), ~out)
+    return _judged(bradley_terry.scored(docs, model), out)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = ecoc_langid.learn(docs, ~out)
+    return ecoc_langid.predicted(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -50,6 +73,9 @@ FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op5_quality": op5_quality,
+    "op7_language": op7_language,
     "op6_near_duplicates": op6_near_duplicates,
     "op10_decontaminate": op10_decontaminate,
 }
