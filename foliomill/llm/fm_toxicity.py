@@ -31,7 +31,7 @@ from .textbytes import ALNUM, LOWER, span_hash, text_bytes, text_slices, words
 LABELLED = 20_000
 TERMS = 2048
 FACTORS = 8
-LEAST_CHI2 = 8.0
+LEAST_CHI2 = 10.0
 _BITS = 20
 _BEGINNINGS = (4, 5, 6, 7)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, ecoc_langid, fm_toxicity, minhash_dedup, wu_manber
+from . import bradley_terry, ecoc_langid, fm_toxicity, minhash_dedup, winnowing, wu_manber
 from .common import held_out, table
 from .learning import CUT
 
@@ -38,6 +38,19 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.edited_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("n_chars").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.digest(F.col("kept")).alias("fingerprint"),
+        winnowing.digest(F.col("edited_kept")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wu_manber.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -77,6 +90,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op7_language": op7_language,
     "op6_near_duplicates": op6_near_duplicates,
+    "op9_fingerprints": op9_fingerprints,
     "op10_decontaminate": op10_decontaminate,
 }
 
