@@ -11,9 +11,10 @@ about ``n + size * log(size)`` per document.
 
 Documents with equal sets are one class and go on as one.  Classes that agree in
 all rows of a band share a bucket.  First each class is compared with the
-least class of each of its buckets; then buckets whose classes are still in
-different components are taken up again (see ``_open_buckets``).  Every link is confirmed
-on the full sets.  A pair at exactly 0.8 misses all bands with a probability of
+least class of each of its buckets; then the pairs that share a bucket and are
+still in different components follow, except those that cannot be alike because
+too many of their shingles occur nowhere else (``_shareable``).  Every link is
+confirmed on the full sets.  A pair at exactly 0.8 misses all bands with a probability of
 (1 - 0.8^6)^42, about 3 in a million.
 
 Defined results: null, empty and wordless texts have an empty set and link with
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, write_table
@@ -37,9 +38,10 @@ from .textbytes import LOWER, NOT_SPACE, mix, text_bytes, text_slices, words
 BANDS, ROWS = 42, 6
 SHINGLE = 5
 PERCENT = 80
-#: Classes of a leader that go to one task, and open buckets up to this size compare all their pairs at once.
+#: Pairs of one class that go to one task.
 SPREAD = 1000
-SMALL_BUCKET = 40
+#: An open bucket looks at all pairs that cross components at once if they are at most this many per class.
+PARTNERS = 1000
 BROADCAST_CLASSES = 10_000
 _EMPTY = np.uint64(2**64 - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -130,16 +132,33 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> dict:
     return {"id": batch["doc_id"], "set": pa.concat_arrays(out)}
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are alike; sets are made only for documents in pairs.
+def _known_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """id and set of the given documents; rows that repeat one with the same text count once."""
+    texts = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select("doc_id", "text")
+    return write_table(map_batches(texts, lambda x: _sets(x, shingle), "id bigint, set array<bigint>"), "sets")
+
+
+def _shareable(members: DataFrame, known: DataFrame) -> DataFrame:
+    """id and ``most``: how many of its shingles any other document among the members has.
+
+    No pair can share more, so this bounds the similarity of a pair from its two
+    rows.  Heavily edited copies of one text, which meet each other in many
+    buckets, have most of their changes to themselves and are ruled out by it.
+    """
+    sets = known.join(members.select("id").distinct(), "id", "left_semi").select("id", F.explode("set").alias("shingle"))
+    lonely = sets.groupBy("shingle").agg(F.countDistinct("id").alias("docs"), F.min("id").alias("id")).where("docs = 1")
+    sizes = known.groupBy("id").agg(F.max(F.size("set")).alias("all"))
+    lonely = lonely.groupBy("id").agg(F.count("*").alias("own"))
+    return sizes.join(lonely, "id", "left").select("id", (F.col("all") - F.coalesce("own", F.lit(0))).alias("most"))
+
+
+def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are alike.
 
     A document that meets thousands of others has its set copied once for every
     ``SPREAD`` of them, so its pairs are many tasks.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    texts = texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select("doc_id", "text")
-    known = write_table(map_batches(texts, lambda x: _sets(x, shingle), "id bigint, set array<bigint>"), "sets")
     heavy = pairs.groupBy("a").agg(F.floor(F.count("*") / SPREAD).cast("int").alias("most"))
     left = known.withColumnRenamed("set", "set_a").join(heavy, known["id"] == heavy["a"]).select("a", "set_a", F.explode(F.sequence(F.lit(0), "most")).alias("salt"))
     right = (
@@ -153,14 +172,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _alike(a: str, b: str, percent: int):
-    """Set sizes that do not rule a link out."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _alike(n: str, most: str, other_n: str, other_most: str, percent: int) -> Column:
+    """Whether the sizes of two sets, and of what they can share, leave room for a link."""
+    both = F.least(most, other_most)
+    return 100 * both >= percent * (F.col(n) + F.col(other_n) - both)
 
 
 def _led(members: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) of the leading classes of a bucket with its other classes, unless one component holds both."""
-    met = (F.col("id") != F.col("lead.id")) & _alike("n", "lead.n", percent)
+    met = (F.col("id") != F.col("lead.id")) & _alike("n", "most", "lead.n", "lead.most", percent)
     if "component" in members.columns:
         met &= F.col("component") != F.col("lead.component")
     leads = leads.select(F.col("bucket").alias("at"), "lead")
@@ -168,10 +188,12 @@ def _led(members: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets whose classes are not all in one component: bucket, id, n, component, size."""
+    """Rows of the buckets whose classes are not all in one component, with component, size and crossing (pairs)."""
     told = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = told.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return told.join(open_.where("low < high").select("bucket", "size"), "bucket")
+    parts = told.groupBy("bucket", "component").agg(F.count("*").alias("part"))
+    open_ = parts.groupBy("bucket").agg(F.sum("part").alias("size"), F.sum(F.col("part").cast("double") ** 2).alias("inner"))
+    crossing = (F.col("size").cast("double") ** 2 - F.col("inner")) / 2
+    return told.join(open_.withColumn("crossing", crossing).where("crossing > 0").select("bucket", "size", "crossing"), "bucket")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -195,28 +217,37 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     tops = ranked.where("top = doc_id")
     members = tops.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = write_table(members.join(shared, "bucket", "left_semi"), "buckets")
-    done = write_table(_led(members, members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead")), percent), "pairs")
-    links = write_table(_confirmed(done, docs, shingle, percent), "links")
-    first = members.groupBy("bucket").agg(F.min("id").alias("id"))
-    members = members.join(first, ["bucket", "id"], "left_anti")
+    members = write_table(members.join(shared, "bucket", "left_semi").withColumn("most", F.col("n")), "buckets")
+    known = _known_sets(members, docs, shingle)
+    leads = members.groupBy("bucket").agg(F.min(F.struct("id", "n", "most")).alias("lead"))
+    done = write_table(_led(members, leads, percent), "pairs")
+    links = write_table(_confirmed(done, known, percent), "links")
+    members = members.join(leads.select("bucket", F.col("lead.id").alias("id")), ["bucket", "id"], "left_anti")
     while True:
         labels = components(links)
+        open_ = _open_buckets(members, labels)
+        open_ = write_table(open_.select("bucket", "id", "n"), "open")
+        can = _shareable(open_, known).where(F.col("most") > 0)
+        members = open_.join(can, "id").where(100 * F.col("most") >= percent * F.col("n"))
         open_ = write_table(_open_buckets(members, labels), "open")
-        small, large = open_.where(F.col("size") <= SMALL_BUCKET), open_.where(F.col("size") > SMALL_BUCKET)
-        other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        met = (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("n", "nb", percent)
+        few = F.col("crossing") <= PARTNERS * F.col("size")
+        small, large = open_.where(few), open_.where(~few)
+        other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
+        met = (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("n", "most", "nb", "mb", percent)
         pairs = small.withColumnRenamed("bucket", "at").join(other, (F.col("at") == F.col("bucket")) & met).select(F.col("id").alias("a"), "b")
-        # A larger bucket puts its least classes by a hash of their ids, about the root of its size, before all others.
+        # A bucket with more of them puts its least classes by a hash of their ids, about the root of its size, before all others.
         way = F.pmod(F.xxhash64("id"), F.floor(F.sqrt("size")))
-        leads = large.groupBy("bucket", way.alias("way")).agg(F.min(F.struct("id", "n", "component")).alias("lead"))
+        leads = large.groupBy("bucket", way.alias("way")).agg(F.min(F.struct("id", "n", "most", "component")).alias("lead"))
         pairs = pairs.unionByName(_led(large, leads, percent)).distinct().join(done, ["a", "b"], "left_anti")
         pairs = write_table(pairs, "pairs")
-        members = large.join(leads.select("bucket", F.col("lead.id").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
+        members = large.join(leads.select("bucket", F.col("lead.id").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n", "most")
         if pairs.isEmpty() and large.isEmpty():
             break
         done = done.unionByName(pairs)
-        links = write_table(links.unionByName(_confirmed(pairs, docs, shingle, percent)), "links")
+        links = write_table(links.unionByName(_confirmed(pairs, known, percent)), "links")
+        if large.isEmpty():
+            labels = components(links)
+            break
     linked = ranked.join(labels.withColumnRenamed("node", "top"), "top", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "top").alias("component_id")
     )
