@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, ecoc_langid, fm_toxicity, minhash_dedup, winnowing, wu_manber
+from . import bradley_terry, ecoc_langid, fm_toxicity, hilbert_packing, minhash_dedup, token_index, winnowing, wu_manber
 from .common import held_out, table
 from .learning import CUT
 
@@ -34,6 +34,21 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecoc_langid.predicted(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), end=0)
+
+
+def op8_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_index.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end=2)
+    return token_index.read_documents(shards)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -86,6 +101,8 @@ FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
 
 QUERIES = {
+    "op4_packing": op4_packing,
+    "op8_token_index": op8_token_index,
     "op2_toxicity": op2_toxicity,
     "op5_quality": op5_quality,
     "op7_language": op7_language,
