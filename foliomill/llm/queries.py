@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, ecoc_langid, fm_toxicity, hilbert_packing, minhash_dedup, token_index, winnowing, wu_manber
+from . import bradley_terry, ecoc_langid, fm_toxicity, hilbert_packing, minhash_dedup, ppm_scoring, token_index, winnowing, wu_manber
 from .common import held_out, table
 from .learning import CUT
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scoring.scored(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
+
+
 def _judged(scores: DataFrame, out: Column) -> DataFrame:
     return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
@@ -101,6 +105,7 @@ FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
 
 QUERIES = {
+    "op1_ppm_score": op1_ppm_score,
     "op4_packing": op4_packing,
     "op8_token_index": op8_token_index,
     "op2_toxicity": op2_toxicity,
