@@ -42,6 +42,8 @@ PERCENT = 80
 SPREAD = 1000
 #: An open bucket looks at all pairs that cross components at once if they are at most this many per class.
 PARTNERS = 1000
+#: Members that a shingle may have to count as rare.
+RARE = 4
 BROADCAST_CLASSES = 10_000
 _EMPTY = np.uint64(2**64 - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -139,18 +141,23 @@ def _known_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return write_table(map_batches(texts, lambda x: _sets(x, shingle), "id bigint, set array<bigint>"), "sets")
 
 
-def _shareable(members: DataFrame, known: DataFrame) -> DataFrame:
-    """id and ``most``: how many of its shingles any other document among the members has.
+def _shareable(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How much the members can share: (id, ``most``), and the pairs (a < b) for which that does not hold.
 
-    No pair can share more, so this bounds the similarity of a pair from its two
-    rows.  Heavily edited copies of one text, which meet each other in many
-    buckets, have most of their changes to themselves and are ruled out by it.
+    ``most`` counts the shingles of a member that more than ``RARE`` members
+    have.  A pair that has no rarer shingle in common cannot share more, which
+    bounds its similarity from its two rows; pairs that do have one are listed,
+    a shingle giving a bounded number.  Heavily edited copies of one text, which
+    meet each other in many buckets, have most changes to themselves and are ruled out.
     """
-    sets = known.join(members.select("id").distinct(), "id", "left_semi").select("id", F.explode("set").alias("shingle"))
-    lonely = sets.groupBy("shingle").agg(F.countDistinct("id").alias("docs"), F.min("id").alias("id")).where("docs = 1")
-    sizes = known.groupBy("id").agg(F.max(F.size("set")).alias("all"))
-    lonely = lonely.groupBy("id").agg(F.count("*").alias("own"))
-    return sizes.join(lonely, "id", "left").select("id", (F.col("all") - F.coalesce("own", F.lit(0))).alias("most"))
+    here = members.select("id", "component").distinct()
+    sets = known.join(here, "id").select("id", "component", F.explode("set").alias("shingle"))
+    spread = sets.groupBy("shingle").agg(F.countDistinct("id").alias("docs"))
+    common = sets.join(spread.where(F.col("docs") > RARE), "shingle").groupBy("id").agg(F.countDistinct("shingle").alias("most"))
+    rare = sets.join(spread.where((F.col("docs") > 1) & (F.col("docs") <= RARE)), "shingle", "left_semi")
+    other = rare.select(F.col("shingle").alias("at"), F.col("id").alias("b"), F.col("component").alias("cb"))
+    pairs = rare.join(other, (F.col("shingle") == F.col("at")) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")))
+    return common, pairs.select(F.col("id").alias("a"), "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -225,16 +232,21 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     members = members.join(leads.select("bucket", F.col("lead.id").alias("id")), ["bucket", "id"], "left_anti")
     while True:
         labels = components(links)
-        open_ = _open_buckets(members, labels)
-        open_ = write_table(open_.select("bucket", "id", "n"), "open")
-        can = _shareable(open_, known).where(F.col("most") > 0)
-        members = open_.join(can, "id").where(100 * F.col("most") >= percent * F.col("n"))
-        open_ = write_table(_open_buckets(members, labels), "open")
+        open_ = write_table(_open_buckets(members, labels).select("bucket", "id", "n", "component"), "open")
+        most, pairs = _shareable(open_, known)
+        bands = usable.join(open_.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+        bands = bands.select(F.col("doc_id").alias("of"), "bands")
+        members = open_.drop("component").join(most, "id").where(100 * F.col("most") >= percent * F.col("n"))
+        open_ = _open_buckets(members, labels).join(bands, (F.col("id") == F.col("of")) & F.array_contains("bands", F.col("bucket"))).drop("of")
+        open_ = write_table(open_, "open")
         few = F.col("crossing") <= PARTNERS * F.col("size")
         small, large = open_.where(few), open_.where(~few)
-        other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
+        other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"), F.col("bands").alias("bb"))
         met = (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("n", "most", "nb", "mb", percent)
-        pairs = small.withColumnRenamed("bucket", "at").join(other, (F.col("at") == F.col("bucket")) & met).select(F.col("id").alias("a"), "b")
+        # A pair that shares several buckets is taken in the first of them.
+        shared = F.filter(F.zip_with("bands", "bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        met = (F.col("at") == F.col("bucket")) & met & (F.get(shared, F.lit(0)) == F.col("at"))
+        pairs = pairs.unionByName(small.withColumnRenamed("bucket", "at").join(other, met).select(F.col("id").alias("a"), "b"))
         # A bucket with more of them puts its least classes by a hash of their ids, about the root of its size, before all others.
         way = F.pmod(F.xxhash64("id"), F.floor(F.sqrt("size")))
         leads = large.groupBy("bucket", way.alias("way")).agg(F.min(F.struct("id", "n", "most", "component")).alias("lead"))
