@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, ecoc_langid, fm_toxicity, hilbert_packing, minhash_dedup, ppm_scoring, token_index, winnowing, wu_manber
+from . import bradley_terry, ecoc_langid, fm_toxicity, hilbert_packing, minhash_dedup, patience_licenses, ppm_scoring, token_index, winnowing, wu_manber
 from .common import held_out, table
 from .learning import CUT
 
@@ -38,6 +38,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecoc_langid.predicted(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = patience_licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct(F.col("finds.license"))), ",").alias("licenses"),
+        F.size("finds").cast("bigint").alias("n_finds"),
+        F.coalesce(F.array_max(F.col("finds.coverage")), F.lit(0.0)).alias("coverage"),
+        F.coalesce(F.array_min(F.col("finds.first")), F.lit(-1)).cast("bigint").alias("first_word"),
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -105,6 +116,7 @@ FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
     "op1_ppm_score": op1_ppm_score,
     "op4_packing": op4_packing,
     "op8_token_index": op8_token_index,
