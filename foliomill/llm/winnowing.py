@@ -99,17 +99,18 @@ def _blocks(docs: DataFrame, rows: int) -> DataFrame:
     want = max(1, math.ceil(keys.count() / rows))
     cuts = keys.agg(F.percentile_approx("key", [i / want for i in range(1, want)], 100 * want)).first()[0] if want > 1 else []
     cuts = sorted(set(cuts or []))
-    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key)) if cuts else F.lit(0)
+    docs = docs.withColumn("key", key)
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
     found = {r.block: r.top for r in keys.select("key", block.alias("block")).groupBy("block").agg(F.max("key").alias("top")).collect()}
     order = sorted(found)
     host = {found[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}
     home = F.struct(block.alias("block"), F.lit(False).alias("guest"))
     if not host:
-        return docs.select(key.alias("key"), "doc_id", "text", F.lit(0).alias("block"), F.lit(False).alias("guest"))
+        return docs.select("key", "doc_id", "text", F.lit(0).alias("block"), F.lit(False).alias("guest"))
     hosts = F.create_map(*[F.lit(int(x)) for pair in host.items() for x in pair])
-    visit = F.array(home, F.struct(hosts[key].cast("int").alias("block"), F.lit(True).alias("guest")))
-    places = F.when(key.isin(list(host)), visit).otherwise(F.array(home))
-    return docs.select(key.alias("key"), "doc_id", "text", F.explode(places).alias("_at")).select("key", "doc_id", "text", "_at.block", "_at.guest")
+    visit = F.array(home, F.struct(hosts[F.col("key")].cast("int").alias("block"), F.lit(True).alias("guest")))
+    places = F.when(F.col("key").isin(list(host)), visit).otherwise(F.array(home))
+    return docs.select("key", "doc_id", "text", F.explode(places).alias("_at")).select("key", "doc_id", "text", "_at.block", "_at.guest")
 
 
 def edited_documents(docs: DataFrame, k: int = K, w: int = W, rows: int = ROWS_PER_BLOCK) -> DataFrame:
