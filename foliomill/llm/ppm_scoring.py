@@ -252,8 +252,8 @@ def _scored(batch: pa.RecordBatch, model: Model) -> dict:
         "doc_id": batch["doc_id"],
         "held_out": batch["held_out"],
         "n_tokens": pa.array(np.concatenate(tokens), pa.int64()),
-        "score": pa.array(np.concatenate(scores)),
-        "head_sum": pa.array(np.concatenate(sums)),
+        "score": pa.array(np.concatenate(scores).astype(float)),
+        "head_sum": pa.array(np.concatenate(sums).astype(float)),
         "head_known": pa.array(np.concatenate(known), pa.int64()),
         "rare": pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), lists),
     }

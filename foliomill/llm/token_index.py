@@ -123,7 +123,9 @@ class Shard:
         slot = self.hash.slots(keys)
         known = slot >= 0
         known[known] = self.fingerprint[slot[known]] == _fingerprint(keys[known])
-        return np.where(known, self.first[slot], 0), np.where(known, self.count[slot], 0)
+        first, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        first[known], count[known] = self.first[slot[known]], self.count[slot[known]]
+        return first, count
 
     def read(self, record: int, records: int = 1) -> np.ndarray:
         a, b = int(self.offsets[record]), int(self.offsets[record + records])
