@@ -152,8 +152,9 @@ def _shareable(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFra
     """
     here = members.select("id", "component").distinct()
     sets = known.join(here, "id").select("id", "component", F.explode("set").alias("shingle"))
-    spread = sets.groupBy("shingle").agg(F.countDistinct("id").alias("docs"))
-    common = sets.join(spread.where(F.col("docs") > RARE), "shingle").groupBy("id").agg(F.countDistinct("shingle").alias("most"))
+    # Rows that repeat a doc_id with another text count twice here, which only loosens the bound.
+    spread = sets.groupBy("shingle").agg(F.count("*").alias("docs"))
+    common = sets.join(spread.where(F.col("docs") > RARE), "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("most"))
     rare = sets.join(spread.where((F.col("docs") > 1) & (F.col("docs") <= RARE)), "shingle", "left_semi")
     other = rare.select(F.col("shingle").alias("at"), F.col("id").alias("b"), F.col("component").alias("cb"))
     pairs = rare.join(other, (F.col("shingle") == F.col("at")) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")))
