@@ -60,6 +60,20 @@ def salted_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def lookup_join(
+    many: DataFrame, one: DataFrame, keys: Sequence[str], spread: Column | None = None, how: str = "left", most: int = 4096
+) -> DataFrame:
+    """Attach one row per key from a catalog.
+
+    The catalog's rows are counted up to ``most`` first: only so small a catalog
+    is broadcast, and then the many side is not moved at all.  A larger one is
+    joined by key, with hot keys split by ``spread`` where it is given.
+    """
+    if len(one.limit(most + 1).select(*keys).collect()) <= most:
+        return many.join(F.broadcast(one), list(keys), how)
+    return many.join(one, list(keys), how) if spread is None else salted_join(many, one, keys, spread, how)
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -105,8 +119,9 @@ def prefix_scan(
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, one machine) a folder is made and
-    set as the checkpoint directory.
+    Only a session on one machine (tests) may name none: a folder is made and
+    set as the checkpoint directory.  On a cluster that is an error, because
+    other machines could not read it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -117,6 +132,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="foliomill-")
     sc.setCheckpointDir(made)
     return made

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import film_profiles
 from ..functions.columns import clamp, clamp_byte, int_div, let, luma, to_int
+from ..functions.scale import lookup_join
 from .raster import STRIP_COLUMNS
 from .tone import rgb_pixels
 
@@ -25,10 +26,9 @@ def film_catalog(spark: SparkSession) -> DataFrame:
 def film_lookup(df: DataFrame, catalog: DataFrame, column: str = "film_id") -> DataFrame:
     """Attach the profile; an unknown id gets ``error``.
 
-    The catalog is a small local relation, so the planner sees its size and
-    picks a broadcast by itself; a large user catalog falls back to a shuffle.
+    A catalog of a counted, small size is broadcast; a larger one is joined by key.
     """
-    found = df.join(catalog.withColumnRenamed("film_id", column), column, "left")
+    found = lookup_join(df, catalog.withColumnRenamed("film_id", column), [column])
     return found.withColumn(
         "error", F.when(F.col("kind").isNull(), F.concat(F.lit("film profile not found: "), F.col(column)))
     )
@@ -72,7 +72,7 @@ def film_convert(strips: DataFrame, catalog: DataFrame, film_column: str = "film
     """Convert strips that carry a film id; unknown ids raise (look them up with
     ``film_lookup`` first to quarantine)."""
     tables = film_tables(catalog).withColumnRenamed("film_id", film_column)
-    joined = strips.join(tables, film_column, "left")
+    joined = lookup_join(strips, tables, [film_column], F.xxhash64("page_id", "y"))
 
     def pixel(r: Column, g: Column, b: Column) -> list[Column]:
         return [F.col("_mask_r")[r], F.col("_mask_g")[g], F.col("_mask_b")[b]]

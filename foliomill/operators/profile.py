@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import IT8_BASES, IT8_COLUMNS, IT8_ROWS, IT8_SCALES
 from ..functions.columns import clamp, clamp_byte, int_div, to_int
+from ..functions.scale import lookup_join
 from .raster import STRIP_COLUMNS, refuse_alpha
 from .tone import rgb_pixels
 
@@ -75,11 +76,13 @@ def it8_patch_means(strips: DataFrame) -> DataFrame:
 
 
 def it8_profile(strips: DataFrame) -> DataFrame:
-    """page_id, gain_r, gain_g, gain_b, error: one gain per channel and chart."""
+    """page_id, gain_r, gain_g, gain_b, error: one gain per channel and chart.
+
+    A page that is not a chart, because it has not three channels, is a row with an error.
+    """
     ref = it8_reference(strips.sparkSession)
     sums = (
-        it8_patch_means(strips)
-        .join(ref, "patch")
+        lookup_join(it8_patch_means(strips), ref, ["patch"], how="inner")
         .groupBy("page_id")
         .agg(*[F.sum(f"{side}_{n}").alias(f"{side}_{n}") for side in ("mean", "ref") for n in "rgb"])
     )
@@ -91,7 +94,9 @@ def it8_profile(strips: DataFrame) -> DataFrame:
 
     gains = sums.select("page_id", *[gain(n).alias(f"gain_{n}") for n in "rgb"])
     dead = F.col("gain_r").isNull() | F.col("gain_g").isNull() | F.col("gain_b").isNull()
-    return gains.withColumn("error", F.when(dead, "capture too dark or a channel is dead"))
+    fitted = gains.withColumn("error", F.when(dead, "capture too dark or a channel is dead"))
+    other = strips.where("y = 0 AND bpp <> 3").select("page_id", F.lit("not a three-channel page").alias("error"))
+    return fitted.unionByName(other, allowMissingColumns=True)
 
 
 def _number(v: Column) -> Column:
@@ -132,7 +137,8 @@ def read_profiles(df: DataFrame, column: str = "profile_json", expected_format:
 
 def apply_profile(strips: DataFrame, profiles: DataFrame, key: str = "profile_id") -> DataFrame:
     """3x3 matrix, clamp, inverse gamma.  ``profiles``: key, matrix, gamma."""
-    joined = strips.join(profiles.select(key, F.col("matrix").alias("_m"), F.col("gamma").alias("_g")), key, "left")
+    one = profiles.select(key, F.col("matrix").alias("_m"), F.col("gamma").alias("_g"))
+    joined = lookup_join(strips, one, [key], F.xxhash64("page_id", "y"))
 
     def mixed(n: int, parts: list[Column]) -> Column:
         m, inverse = F.col("_m")[n], F.lit(1.0) / F.col("_g")[n]

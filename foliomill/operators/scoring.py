@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,16 @@ def tensor_size(height: Column, width: Column) -> Column:
             F.when(over & ~taller, s["w"] - 1).otherwise(s["w"]).alias("w"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), first, shrink)
+    def fit(s: Column) -> Column:
+        """Sides so unequal that single steps do not do: the larger one is what the cap leaves it."""
+        over = s["h"] * s["w"] * 3 > MAX_ELEMENTS
+        left = lambda small: F.greatest(F.floor(F.lit(MAX_ELEMENTS) / (small * 3)), F.lit(1))
+        return F.struct(
+            F.when(over & (s["h"] >= s["w"]), left(s["w"])).otherwise(s["h"]).alias("h"),
+            F.when(over & (s["h"] < s["w"]), left(s["h"])).otherwise(s["w"]).alias("w"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), first, shrink, fit)
 
 
 def resolve_layout(shape: list[int | None], layout: str = "auto") -> str:
@@ -104,17 +113,20 @@ def tensor_prepare(
 
 
 def score_pages(
-    tensors: DataFrame, make_predict_fn: Callable, output_type: T.DataType = FLOATS, batch_size: int = 16
+    tensors: DataFrame, make_predict_fn: Callable, shape: Sequence[int], output_type: T.DataType = FLOATS, batch_size: int = 16
 ) -> DataFrame:
     """Run a user model over prepared tensors in Arrow batches.
 
+    ``shape`` is the one the tensors were prepared with.  The model sees the rows
+    of a batch as the first axis; a leading 1 of the shape is left out, a larger
+    one stays as an axis of each row.
+
     ``make_predict_fn`` follows ``pyspark.ml.functions.predict_batch_udf``: it
     loads the model once per Python worker and returns a NumPy batch function.
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    first = tensors.select("shape").first()
-    shape = list(first["shape"])[1:] if first else [1]
+    shape = list(shape[1:] if shape[0] == 1 else shape)
     predict = predict_batch_udf(
         make_predict_fn, return_type=output_type, batch_size=batch_size, input_tensor_shapes=[shape]
     )

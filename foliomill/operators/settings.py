@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import IMAGE_FORMATS, MULTIPAGE_FORMATS, OCR_ENGINES, PAPER_MM, REDACTED_KEYS, film_profiles
 from ..functions.columns import let
@@ -184,7 +188,9 @@ def setting_rules() -> list[tuple[str, Column]]:
     size = F.greatest(w, F.lit(1)).cast("bigint") * F.greatest(h, F.lit(1)) * 3
     not_in = lambda name, allowed: ~F.lower(c(name)).isin(*allowed)
     finite = lambda name: ~F.isnan(c(name))
-    points = F.transform(c("curves"), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    side = lambda i: F.get(crop, F.lit(i))
+    short = F.exists(c("curves"), lambda p: p.isNull() | (F.size(p) != 2))
+    points = F.transform(c("curves"), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
     return [
         ("output_name", output_name_error(c("output_name")).isNotNull()),
         ("output_format", not_in("output_format", IMAGE_FORMATS)),
@@ -198,7 +204,7 @@ def setting_rules() -> list[tuple[str, Column]]:
         ("batch_pages", ~c("batch_pages").between(1, 1000)),
         ("saturation", ~finite("saturation") | ~c("saturation").between(-100.0, 100.0)),
         ("hue", ~finite("hue") | ~c("hue").between(-180.0, 180.0)),
-        ("curves", curve_parse(curve_format(points))["error"].isNotNull()),
+        ("curves", F.coalesce(short, F.lit(False)) | curve_parse(curve_format(points))["error"].isNotNull()),
         ("rotate", c("rotate") % 90 != 0),
         ("levels_gamma", ~finite("levels_gamma") | (c("levels_gamma") <= 0)),
         ("deskew_angle", ~finite("deskew_angle") | (F.abs(c("deskew_angle")) > 45.0)),
@@ -212,7 +218,7 @@ def setting_rules() -> list[tuple[str, Column]]:
         ("infrared_clean", ~F.lower(F.trim(c("infrared_clean"))).isin(*tiers)),
         ("grain_reduction", ~F.lower(F.trim(c("grain_reduction"))).isin(*tiers)),
         ("colorize_mode", ~is_off(c("colorize_mode")) & ~F.lower(F.trim(c("colorize_mode"))).isin(*TINT_NAMES)),
-        ("crop", (crop[0] < 0) | (crop[1] < 0) | (crop[2] < 1) | (crop[3] < 1)),
+        ("crop", crop.isNotNull() & ((F.size(crop) != 4) | (side(0) < 0) | (side(1) < 0) | (side(2) < 1) | (side(3) < 1))),
     ]
 
 
@@ -222,15 +228,34 @@ def settings_validate(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(F.filter(flags, lambda r: r.isNotNull())).alias("rule"))
 
 
-def redact_keys(text: Column, depth: int = 4) -> Column:
-    """Drop licence, serial and DRM keys of a JSON object, also in nested
-    objects down to ``depth``; arrays are left as they are."""
-    fields = F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, v: ~F.lower(k).isin(*REDACTED_KEYS))
-    if depth > 1:
-        fields = F.transform_values(
-            fields,
-            lambda k, v: F.when(
-                F.schema_of_variant(v).startswith("OBJECT"), F.parse_json(redact_keys(F.to_json(v), depth - 1))
-            ).otherwise(v),
-        )
-    return F.to_json(fields)
+def redact_keys(text: Column) -> Column:
+    """Drop licence, serial and DRM keys of a JSON object, also in objects
+    inside it at any depth; arrays are left as they are.
+
+    A JSON text has no fixed depth, so each is walked by a small function over
+    Arrow batches with a list of open objects instead of a nested expression.
+    Null stays null; a text that is not a JSON object gives null.
+    """
+    return _redacted(text)
+
+
+@F.pandas_udf(T.StringType())
+def _redacted(texts: pd.Series) -> pd.Series:
+    secret = frozenset(REDACTED_KEYS)
+
+    def clean(text: str | None) -> str | None:
+        try:
+            whole = json.loads(text) if text is not None else None
+        except (ValueError, RecursionError):
+            return None
+        if not isinstance(whole, dict):
+            return None
+        open_ = [whole]
+        while open_:
+            here = open_.pop()
+            for key in [k for k in here if k.lower() in secret]:
+                del here[key]
+            open_ += [v for v in here.values() if isinstance(v, dict)]
+        return json.dumps(whole, ensure_ascii=False, separators=(",", ":"))
+
+    return texts.map(clean)

@@ -156,7 +156,7 @@ def ink_components(strips: DataFrame, limit: int = INK_LIMIT, band_rows: int = P
 
 
 def glyph_match(strips: DataFrame, boxes: DataFrame, limit: int = INK_LIMIT) -> DataFrame:
-    """Best 5x7 template per box: page_id, x0, y0, x1, y1, ch, score.
+    """Best 5x7 template per box: page_id, x0, y0, x1, y1, ch, same (equal cells of 35), score.
 
     A box meets its strips by (page, line); each meeting keeps five ink counts,
     not pixels.  A box becomes a 35-bit mask, so comparing it with a template
@@ -211,7 +211,7 @@ def glyph_match(strips: DataFrame, boxes: DataFrame, limit: int = INK_LIMIT) ->
         )
     )
     return masked.withColumn("best", best).select(
-        "page_id", "x0", "y0", "x1", "y1", F.col("best.ch").alias("ch"), (F.col("best.same") / 35.0).alias("score")
+        "page_id", "x0", "y0", "x1", "y1", F.col("best.ch").alias("ch"), F.col("best.same").alias("same"), (F.col("best.same") / 35.0).alias("score")
     )
 
 
@@ -262,11 +262,13 @@ def reading_lines(boxes: DataFrame) -> DataFrame:
     )
 
 
-def line_text(glyphs: DataFrame) -> DataFrame:
-    """page_id, text, confidence, glyphs from boxes with line, ch and score.
+def line_text(glyphs: DataFrame, cells: int = 35) -> DataFrame:
+    """page_id, text, confidence, glyphs from boxes with line, ch and same.
 
     A gap wider than half the previous glyph is a word space.  Strings are
-    built per line first, then the lines of a page are joined.
+    built per line first, then the lines of a page are joined.  ``same`` is the
+    whole number of equal cells, out of ``cells``: whole numbers are summed and
+    divided once, so the order of rows cannot change the confidence.
     """
     along = Window.partitionBy("page_id", "line").orderBy("x0", "y0", "y1", "x1")
     gap = F.greatest(F.col("x0") - F.lag("x1").over(along), F.lit(0))
@@ -276,16 +278,16 @@ def line_text(glyphs: DataFrame) -> DataFrame:
         "line",
         F.row_number().over(along).alias("at"),
         F.concat(F.when(F.coalesce(spaced, F.lit(False)), " ").otherwise(""), F.col("ch")).alias("piece"),
-        "score",
+        "same",
     )
     lines = marked.groupBy("page_id", "line").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]), "").alias("body"),
-        F.sum("score").alias("score"),
+        F.sum("same").alias("same"),
         F.count(F.lit(1)).alias("n"),
     )
     return lines.groupBy("page_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "body"))), lambda p: p["body"]), "\n").alias("text"),
-        (F.sum("score") / F.sum("n")).alias("confidence"),
+        (F.sum("same") / (F.sum("n") * cells)).alias("confidence"),
         F.sum("n").alias("glyphs"),
     )
 
@@ -371,16 +373,21 @@ def char_codes(pages: DataFrame) -> DataFrame:
     return chars.select("job_id", "ch", F.row_number().over(by_point).alias("code"))
 
 
-def code_errors(codes: DataFrame) -> DataFrame:
-    return codes.groupBy("job_id").agg(F.max("code").alias("codes")).where(F.col("codes") > MAX_CODES)
+def encode_text_rejects(codes: DataFrame) -> DataFrame:
+    """job_id, codes, reason of the jobs whose alphabet does not fit two bytes."""
+    most = codes.groupBy("job_id").agg(F.max("code").cast("bigint").alias("codes")).where(F.col("codes") > MAX_CODES)
+    return most.withColumn("reason", F.lit("codes beyond two bytes"))
 
 
 def encode_text(pages: DataFrame, codes: DataFrame) -> DataFrame:
     """Attach ``encoded``: two big-endian bytes per character.
 
+    Pages of the jobs in ``encode_text_rejects`` are left out here.
+
     Only a page's own alphabet meets the code table; the text never leaves its
     row.  Codes that are not valid characters take the list look-up instead.
     """
+    pages = pages.join(encode_text_rejects(codes).select("job_id"), "job_id", "left_anti")
     alphabet = pages.select("job_id", "page_no", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''")
     found = salted_join(alphabet, codes.groupBy("job_id", "ch").agg(F.first("code").alias("code")), ["job_id", "ch"], F.col("page_no"))
     tables = found.groupBy("job_id", "page_no").agg(

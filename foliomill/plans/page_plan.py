@@ -116,22 +116,32 @@ def process_pages(strips: DataFrame, prefs: dict) -> DataFrame:
     return strips.select(STRIP_COLUMNS)
 
 
-def process_by_plan(strips: DataFrame, plans: DataFrame, max_plans: int = 256) -> DataFrame:
+def plan_rejects(strips: DataFrame, prefs: dict) -> DataFrame:
+    """page_id, reason of the pages that the plan cannot take, because its crop does not fit them.
+
+    These pages and those of ``process_pages`` together are the input.
+    """
+    rectangle = {**DEFAULTS, **prefs}["crop"]
+    if rectangle is None:
+        return strips.where("false").select("page_id", F.lit("").alias("reason"))
+    return geometry.crop_rejected(strips, *rectangle)
+
+
+def process_by_plan(strips: DataFrame, plans: DataFrame, group: int = 64) -> DataFrame:
     """Per-page plans: ``plans`` has page_id and ``prefs`` (JSON text).
 
     Pages are grouped by distinct plan, so each plan compiles once.  Only the
-    distinct plan texts reach the driver, and their number is checked first;
-    more distinct plans than that is refused, because each is a branch of the
-    query plan.
+    distinct plan texts reach the driver.  Each plan is a branch of the query,
+    so after every ``group`` of them what is done is written and read again.
     """
-    texts = [r["prefs"] for r in plans.select("prefs").distinct().limit(max_plans + 1).collect()]
-    if len(texts) > max_plans:
-        raise ValueError(f"more than {max_plans} distinct plans; process them in groups")
+    texts = [r["prefs"] for r in plans.select("prefs").distinct().collect()]
     tagged = join_page_stats(strips, plans.select("page_id", "prefs"), "left")
     out = tagged.where("prefs is null").select(STRIP_COLUMNS)
-    for text in sorted(t for t in texts if t is not None):
+    for n, text in enumerate(sorted(t for t in texts if t is not None), 1):
         part = tagged.where(F.col("prefs") == text).select(STRIP_COLUMNS)
         out = out.unionByName(process_pages(part, json.loads(text)))
+        if n % group == 0:
+            out = cut_lineage(out)
     return out
 
 

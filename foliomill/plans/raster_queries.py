@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..constants import film_profiles
+from ..functions.scale import lookup_join
 from ..operators import film, filters, geometry, profile, raster, tone
 from .fixtures import (
     LUMA_SQL, byte_sql, checksum_sql, page_strips, px_sql, rgb_sql, spread_samples, table, text_pages, unrgb_sql,
@@ -641,7 +642,7 @@ _register(
 
 def _chart_residuals(spark, sf):
     """How far every measured patch is from its reference colour."""
-    joined = profile.it8_patch_means(page_strips(spark, sf)).join(profile.it8_reference(spark), "patch")
+    joined = lookup_join(profile.it8_patch_means(page_strips(spark, sf)), profile.it8_reference(spark), ["patch"], how="inner")
     return joined.select(
         "page_id", "patch", *[F.round(F.col(f"mean_{n}") - F.col(f"ref_{n}"), 9).alias(f"off_{n}") for n in "rgb"]
     )

@@ -500,7 +500,8 @@ def _pick(spark, sf):
         "concat(l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey, '-', CAST(l_quantity AS INT)) AS request_id", "l_partkey AS device",
         "CAST(l_quantity * 13 AS INT) AS dpi_x", "CAST(l_quantity * 17 AS INT) AS dpi_y",
     )
-    parts = table(spark, sf, "part").where("p_size % 6 <> 0")
+    # Every sixth part stands under a key that nobody asks for, which leaves gaps.
+    parts = table(spark, sf, "part").withColumn("p_partkey", F.expr("CASE WHEN p_size % 6 = 0 THEN -p_partkey ELSE p_partkey END"))
     none = "CAST(NULL AS BIGINT)"
     spans = "CAST(p_size + 50 AS BIGINT) AS min_x, CAST(p_size * 30 AS BIGINT) AS max_x, CAST(25 AS BIGINT) AS step_x, CAST(75 AS BIGINT) AS min_y, CAST(700 AS BIGINT) AS max_y, CAST(50 AS BIGINT) AS step_y"
     empty = ", ".join(f"{none} AS {b}_{a}" for a in "xy" for b in ("min", "max", "step"))
@@ -517,7 +518,7 @@ _add(
     "resolution_pick",
     _pick,
     """WITH rq AS (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey, '-', CAST(l_quantity AS INT)) AS request_id, l_partkey AS device, CAST(l_quantity * 13 AS INT) AS dpi_x, CAST(l_quantity * 17 AS INT) AS dpi_y FROM lineitem),
-p AS (SELECT * FROM part WHERE p_size % 6 <> 0),
+p AS (SELECT * REPLACE (CASE WHEN p_size % 6 = 0 THEN -p_partkey ELSE p_partkey END AS p_partkey) FROM part),
 sx AS (SELECT rq.*, p_size, p_size + 50 AS lo, p_size * 30 AS hi, p_size + 50 + ((least(greatest(dpi_x, p_size + 50), p_size * 30) - p_size - 50) + 12) // 25 * 25 AS nx,
    75 + ((least(greatest(dpi_y, 75), 700) - 75) + 25) // 50 * 50 AS ny FROM rq JOIN p ON device = p_partkey),
 c AS (SELECT request_id, 0 AS o, p_size * 10 AS x, p_size * 10 AS y, dpi_x, dpi_y FROM sx UNION ALL SELECT request_id, 1, 300, 600, dpi_x, dpi_y FROM sx
@@ -769,6 +770,14 @@ _add(
     """SELECT event_id, concat('{"user":', user_id, CASE event_id % 5 WHEN 3 THEN concat(',"serials":"', event_type, '"') WHEN 4 THEN concat(',"note":"', event_type, '"') ELSE '' END,
   ',"props":', replace(props, ': ', ':'), '}') AS body FROM events""",
 )
+_DEEP = """concat(repeat('{"a":', 8), '{"serial":"', event_type, '","k":', user_id, '}', repeat('}', 8))"""
+_add(
+    "redact_deep",
+    lambda spark, sf: table(spark, sf, "events").selectExpr("event_id", f"{_DEEP} AS body").select(
+        "event_id", settings.redact_keys(F.col("body")).alias("body")
+    ),
+    """SELECT event_id, concat(repeat('{"a":', 8), '{"k":', user_id, '}', repeat('}', 8)) AS body FROM events""",
+)
 
 # --- job events ------------------------------------------------------------
 
@@ -837,15 +846,16 @@ _add(
     .withColumn("lang", i18n.lang_normalize(F.col("tag"))),
     f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_TAG} AS tag, {_NORM} AS lang FROM lineitem",
 )
-_KEY = "CASE doc_id % 40 WHEN 0 THEN 'open' WHEN 1 THEN 'scan' WHEN 2 THEN 'menu.image' ELSE concat('key.', doc_id % 150) END"
+# Some English texts stand under spare keys, which leaves gaps.
+_KEY = "CASE WHEN lang = 'en' AND doc_id % 150 >= 120 THEN concat('spare.', doc_id % 7) ELSE CASE doc_id % 40 WHEN 0 THEN 'open' WHEN 1 THEN 'scan' WHEN 2 THEN 'menu.image' ELSE concat('key.', doc_id % 150) END END"
 
 
 def _translations(spark, sf):
-    docs = table(spark, sf, "documents").where("lang <> 'en' OR doc_id % 150 < 120").selectExpr("lang", f"{_KEY} AS key", "doc_id", "text")
+    docs = table(spark, sf, "documents").selectExpr("lang", f"{_KEY} AS key", "doc_id", "text")
     return docs.groupBy("lang", "key").agg(F.min_by("text", "doc_id").alias("text"))
 
 
-_TR = f"""tr AS (SELECT lang, {_KEY} AS key, arg_min(text, doc_id) AS text FROM documents WHERE lang <> 'en' OR doc_id % 150 < 120 GROUP BY 1, 2)"""
+_TR = f"""tr AS (SELECT lang, {_KEY} AS key, arg_min(text, doc_id) AS text FROM documents GROUP BY 1, 2)"""
 _ASKED = "CASE l_suppkey % 9 WHEN 0 THEN 'button.open' WHEN 1 THEN 'button.scan_plus' WHEN 2 THEN 'menu.view' WHEN 3 THEN 'button.zoom_out' ELSE concat('key.', l_partkey % 160) END"
 
 
