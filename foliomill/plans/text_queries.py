@@ -370,6 +370,17 @@ _add(
 
 # --- plans and sinks -------------------------------------------------------
 
+_add(
+    "page_plan_rejects",
+    lambda spark, sf: page_plan.plan_rejects(page_strips(spark, sf), dict(crop=(3, 2, 20, 40), invert=True)),
+    px_sql() + "\nSELECT DISTINCT page_id, 'crop region out of bounds' AS reason FROM px WHERE height < 42",
+)
+_add(
+    "page_plan_cropped",
+    lambda spark, sf: page_plan.process_pages(page_strips(spark, sf), dict(crop=(3, 2, 20, 40), invert=True))
+    .groupBy("page_id").agg(F.count("*").alias("lines"), F.sum(F.aggregate("row", F.lit(0).cast("bigint"), lambda a, v: a + v)).alias("total")),
+    px_sql() + "\nSELECT page_id, CAST(40 AS BIGINT) AS lines, CAST(sum(255 - v) AS BIGINT) AS total FROM px WHERE height >= 42 AND x >= 3 AND x < 23 AND y >= 2 AND y < 42 GROUP BY 1",
+)
 PLAN = dict(
     rotate=90, flip_h=True, brightness=10, contrast=15, levels_black=12, levels_white=240, levels_gamma=1.2, white_balance=True,
     saturation=-30.0, auto_levels=True, invert=True, sharpen_amount=0.8, flatten=True,

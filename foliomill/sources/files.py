@@ -59,8 +59,13 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return named
 
 
+def image_errors(images: DataFrame) -> DataFrame:
+    """page_id, path, reason of the images that could not be decoded, which have no strips."""
+    return images.where("fmt is null").select("page_id", "path", F.lit("not a decodable image").alias("reason"))
+
+
 def image_strips(images: DataFrame) -> DataFrame:
-    """Strips of ``read_images`` rows with red first and alpha removed."""
+    """Strips of ``read_images`` rows with red first and alpha removed; the rest is in ``image_errors``."""
     strips = to_strips(images.where("fmt is not null").select("page_id", "width", "height", "fmt", "content"))
     bpp = F.col("bpp")
     swapped = let(

@@ -140,6 +140,18 @@ def test_redaction_is_recursive(spark):
     assert got == ['{"a":1,"n":{"b":[{"drm":1}],"c":"q"}}']
 
 
+def test_redaction_has_no_depth_limit(spark):
+    deep = '{"a":' * 200 + '{"serial":"S","k":1}' + "}" * 200
+    got = many(spark, [deep, None, "[1]", "{broken"], settings.redact_keys)
+    assert got == ['{"a":' * 200 + '{"k":1}' + "}" * 200, None, None, None]
+
+
+def test_short_arrays_break_a_rule_and_not_the_job(spark):
+    texts = ['{"crop":[1,2]}', '{"curves":[[0],[9,9]]}', '{"crop":[0,0,5,5]}', '{"curves":[[0,0],[9,9]]}']
+    rows = settings.settings_load(spark.createDataFrame(list(enumerate(texts)), "id int, config string"))
+    assert {(r["id"], r["rule"]) for r in settings.settings_validate(rows, "id").collect()} == {(0, "crop"), (1, "curves")}
+
+
 def test_languages(spark):
     tags = {t: "tw" for t in ("zh-TW", "zh_TW", "zh-Hant", "zh-HK", "zh_MO", "zh-Hant-TW")}
     tags |= {t: "zh" for t in ("zh", "zh-CN", "zh-Hans", "zh-Hans-HK", "zh_Hans_MO", "zh-SG")}
