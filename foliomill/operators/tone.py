@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,37 +237,62 @@ def colorize(strips: DataFrame, mode: str | None = "sepia") -> DataFrame:
 # --- page statistics ------------------------------------------------------
 
 
+def _row_counts(rows: DataFrame) -> DataFrame:
+    """page_id, c, v, n: how often each value occurs per page and channel, summed per Arrow batch only.
+
+    ``rows`` has page_id, first, step and row: sample i is channel ``first + i % step``.
+    A batch leaves at most 256 rows per page and channel, so samples never become rows.
+    """
+    kind = rows.schema["page_id"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["row"]
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            value = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(size) - size
+            step, first = (np.repeat(batch[c].to_numpy(), size) for c in ("step", "first"))
+            channel = first + (np.arange(len(value)) - np.repeat(start, size)) % np.maximum(step, 1)
+            pages = batch["page_id"].dictionary_encode()
+            page = np.repeat(pages.indices.to_numpy(zero_copy_only=False), size)
+            key, n = np.unique((page * 8 + channel) * 256 + value, return_counts=True)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "page_id": pages.dictionary.take(pa.array(key // 2048)),
+                    "c": pa.array(key // 256 % 8, pa.int32()),
+                    "v": pa.array(key % 256, pa.int32()),
+                    "n": pa.array(n, pa.int64()),
+                }
+            )
+
+    return rows.select("page_id", "first", "step", "row").mapInArrow(count, f"page_id {kind}, c int, v int, n bigint")
+
+
 def sample_counts(strips: DataFrame, pooled: bool = False) -> DataFrame:
     """Counts per page, channel and value; alpha is not a colour value.
 
-    At most 256 rows per page and channel, combined on the map side, so every
+    At most 256 rows per page and channel, counted per batch first, so every
     later window over a histogram is small whatever the page size.
     """
-    samples = strips.select("page_id", "bpp", F.posexplode("row").alias("i", "v")).withColumn(
-        "c", F.col("i") % F.col("bpp")
-    )
-    samples = samples.where("c < 3")
+    found = _row_counts(strips.select("page_id", F.lit(0).alias("first"), F.col("bpp").alias("step"), "row")).where("c < 3")
     keys = ["page_id", "v"] if pooled else ["page_id", "c", "v"]
-    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def page_histogram(strips: DataFrame) -> DataFrame:
     """page_id, channel (gray | r g b luma), pixels, bins ARRAY<BIGINT>[256]."""
     # Channels stay small integers until the counts are in: 0 1 2 are r g b,
     # 3 is alpha (left out), 4 is luma and 5 gray.
-    colour = strips.where("bpp > 1")
-    luma_part = colour.withColumn("row", luma_row(F.col("row"), F.col("bpp"))).select(
-        "page_id", F.lit(4).alias("c"), F.explode("row").alias("v")
-    )
-    plain = strips.select("page_id", "bpp", F.posexplode("row").alias("i", "v")).select(
-        "page_id", F.when(F.col("bpp") == 1, 5).otherwise(F.col("i") % F.col("bpp")).alias("c"), "v"
+    luma_part = strips.where("bpp > 1").select(
+        "page_id", F.lit(4).alias("first"), F.lit(1).alias("step"), luma_row(F.col("row"), F.col("bpp")).alias("row")
     )
+    plain = strips.select("page_id", F.when(F.col("bpp") == 1, 5).otherwise(0).alias("first"), F.col("bpp").alias("step"), "row")
     names = F.array(*[F.lit(n) for n in ("r", "g", "b", "a", "luma", "gray")])
     counts = (
-        plain.where("c <> 3")
-        .unionByName(luma_part)
+        _row_counts(plain.unionByName(luma_part))
+        .where("c <> 3")
         .groupBy("page_id", "c", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .select("page_id", names[F.col("c")].alias("channel"), "v", "n")
     )
     sums = counts.groupBy("page_id", "channel").agg(
