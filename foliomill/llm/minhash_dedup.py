@@ -42,6 +42,8 @@ PERCENT = 80
 SPREAD = 1000
 #: An open bucket looks at all pairs that cross components at once if they are at most this many per class.
 PARTNERS = 1000
+#: Bits of the filter for documents whose sets are needed (4 MB).
+SLOTS = 1 << 25
 #: Members that a shingle may have to count as rare.
 RARE = 4
 BROADCAST_CLASSES = 10_000
@@ -134,9 +136,24 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> dict:
     return {"id": batch["doc_id"], "set": pa.concat_arrays(out)}
 
 
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose hashed doc_id has its bit set by one of the ids: all that have one of them, and few others.
+
+    The bits are SLOTS / 8 bytes in rows of 4 KB, whatever the number of ids, so
+    they are broadcast; most texts then need not travel to be joined with the ids.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) + 1
+    place = F.bitmap_bit_position(F.col("_slot"))
+    maps = ids.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_part")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = docs.withColumn("_slot", slot).withColumn("_part", F.bitmap_bucket_number("_slot")).join(F.broadcast(maps), "_part")
+    return told.where(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(docs.columns)
+
+
 def _known_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """id and set of the given documents; rows that repeat one with the same text count once."""
-    texts = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = ids.select(F.col("id").alias("doc_id")).distinct()
+    texts = _likely(docs.select("doc_id", "text"), ids).join(ids, "doc_id", "left_semi")
     texts = texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select("doc_id", "text")
     return write_table(map_batches(texts, lambda x: _sets(x, shingle), "id bigint, set array<bigint>"), "sets")
 
