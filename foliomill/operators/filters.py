@@ -106,7 +106,8 @@ def with_median(strips: DataFrame, radius: int, out: str = "_median", band_rows:
         kept = table.select(STRIP_COLUMNS).take(pa.array(own))
         return kept.append_column(out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1))))
 
-    schema = "page_id bigint, width int, height int, bpp int, y int, row array<int>, " + f"`{out}` array<int>"
+    kind = strips.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, width int, height int, bpp int, y int, row array<int>, `{out}` array<int>"
     parts = banded(strips.select(STRIP_COLUMNS), r, band_rows)
     return parts.groupBy("page_id", "_band").applyInArrow(medians, schema)
 
@@ -139,34 +140,39 @@ def sharpen(strips: DataFrame, amount: float, band_rows: int = PAGE_BAND) -> Dat
 
 
 def box_blur(strips: DataFrame, radius: int = 1, band_rows: int = PAGE_BAND) -> DataFrame:
-    """Two truncating mean passes; the frame is clipped at the edges."""
+    """Two truncating mean passes; the frame is clipped at the edges.
+
+    Sums over a frame are differences of running totals, along the lines and
+    then down them, so the work does not grow with the radius.  One band at a
+    time goes to NumPy, at most ``band_rows + 2 * radius`` lines of one page.
+    """
     r = max(1, radius)
-    bpp, width = F.col("bpp"), F.col("width")
-
-    def span(at: Column, size: Column) -> Column:
-        return F.least(at + r, size - 1) - F.greatest(at - r, F.lit(0)) + 1
-
-    zeros = F.array_repeat(F.lit(0), bpp * r)
-    across = let(
-        F.concat(zeros, F.col("row"), zeros),
-        lambda p: F.transform(
-            indices(bpp * width),
-            lambda i: to_int(
-                int_div(sum((p[i + bpp * k] for k in range(1, 2 * r + 1)), p[i]), span(to_int(int_div(i, bpp)), width))
-            ),
-        ),
-    )
-    flat = with_neighbours(strips.withColumn("row", across), r, band_rows)
-    names = [f"up_{k}" for k in range(1, r + 1)] + ["row"] + [f"down_{k}" for k in range(1, r + 1)]
-    lines = F.filter(F.array(*[F.col(n) for n in names]), lambda line: line.isNotNull())
-    down = let(
-        lines,
-        lambda ls: F.transform(
-            indices(bpp * width),
-            lambda i: to_int(int_div(F.aggregate(ls, F.lit(0), lambda acc, line: acc + line[i]), F.size(ls))),
-        ),
-    )
-    return drop_neighbours(flat.withColumn("row", down), r)
+
+    def blurred(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("y")
+        width, bpp = table["width"][0].as_py(), table["bpp"][0].as_py()
+        y = table["y"].to_numpy()
+        lines = table["row"].combine_chunks().flatten().to_numpy().astype(np.int64).reshape(len(y), width, bpp)
+
+        def means(values, first, end):
+            total = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0)])
+            return (total[end] - total[first]) // (end - first).reshape(-1, *[1] * (values.ndim - 1))
+
+        x = np.arange(width)
+        across = means(lines.transpose(1, 0, 2), np.maximum(x - r, 0), np.minimum(x + r + 1, width)).transpose(1, 0, 2)
+        own = np.flatnonzero(y // band_rows == table["_band"].to_numpy())
+        down = means(across, np.searchsorted(y, y[own] - r), np.searchsorted(y, y[own] + r, side="right"))
+        offsets = np.arange(len(own) + 1, dtype=np.int32) * (width * bpp)
+        row = pa.ListArray.from_arrays(pa.array(offsets), pa.array(down.reshape(-1).astype(np.int32)))
+        return table.select([c for c in STRIP_COLUMNS if c != "row"]).take(pa.array(own)).append_column("row", row)
+
+    kinds = {c: strips.schema[c].dataType.simpleString() for c in STRIP_COLUMNS if c != "row"}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", row array<int>"
+    parts = banded(strips.select(STRIP_COLUMNS), r, band_rows)
+    return parts.groupBy("page_id", "_band").applyInArrow(blurred, schema).select(STRIP_COLUMNS)
 
 
 def _blend(strips: DataFrame, radius: int, share: float, band_rows: int) -> DataFrame:
