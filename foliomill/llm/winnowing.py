@@ -27,7 +27,8 @@ from ..functions.columns import let
 
 K, W = 12, 16
 SEGMENT = 2048
-ROWS_PER_BLOCK = 2000
+#: Documents in a range of doc_ids, and the most ranges there are (beyond it they hold more documents).
+ROWS_PER_BLOCK, BLOCKS = 2000, 20_000
 _LOCAL = 12  # bits of a place inside a segment
 _PLACE = 1 << 32
 
@@ -96,8 +97,8 @@ def _blocks(docs: DataFrame, rows: int) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
     keys = docs.select(key.alias("key"))
-    want = max(1, math.ceil(keys.count() / rows))
-    cuts = keys.agg(F.percentile_approx("key", [i / want for i in range(1, want)], 100 * want)).first()[0] if want > 1 else []
+    want = min(BLOCKS, max(1, math.ceil(keys.count() / rows)))
+    cuts = keys.agg(F.percentile_approx("key", [i / want for i in range(1, want)], max(10_000, 10 * want))).first()[0] if want > 1 else []
     cuts = sorted(set(cuts or []))
     docs = docs.withColumn("key", key)
     block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
