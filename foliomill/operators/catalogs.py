@@ -69,11 +69,11 @@ def resolve_columns(query: Column, catalog: list[dict] | None = None) -> Column:
 
     chain = F.when(trimmed == "", unknown("empty query"))
     for entry in entries:
-        chain = chain.when(vid.isin(entry["vids"]), hit(entry, "vid", F.concat(F.lit("matched USB VID "), vid)))
+        chain = chain.when(vid.isin(entry["vids"]), hit(entry, "vid", F.concat(F.lit("vid "), vid)))
     for entry in entries:
         pattern = "|".join(token_pattern(t.lower()) for t in entry["tokens"])
-        chain = chain.when(lowered.rlike(pattern), hit(entry, "name_token", F.lit(f"matched name token for {entry['name']}")))
-    return chain.otherwise(unknown("no catalog manufacturer matched"))
+        chain = chain.when(lowered.rlike(pattern), hit(entry, "name_token", F.lit(f"token of {entry['name']}")))
+    return chain.otherwise(unknown("no match"))
 
 
 def manufacturer_resolve(devices: DataFrame, column: str = "name", catalog: list[dict] | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ def tier_of(label: str, value: str | None) -> str | None:
     if text in TIER_OFF:
         return None
     if text not in TIER_ALIASES:
-        raise ValueError(f"{label} must be off or one of: light, medium, heavy")
+        raise ValueError(f"{label} unknown tier")
     return TIER_ALIASES[text]
 
 

@@ -102,16 +102,16 @@ def batch_complete(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     status = (
         F.when(
             reported != F.col("published"),
-            text("scanner reported ", reported.cast("string"), " pages but emitted ", F.col("published").cast("string")),
+            text("reported ", reported.cast("string"), ", published ", F.col("published").cast("string")),
         )
         .when(
             limit & (reported != F.col("requested")),
-            text("scanner stopped after ", reported.cast("string"), " of ", F.col("requested").cast("string"), " requested pages"),
+            text("stopped at ", reported.cast("string"), " of ", F.col("requested").cast("string"), " requested"),
         )
-        .when(~limit & (reported == 0), F.lit("document feeder is empty"))
+        .when(~limit & (reported == 0), F.lit("no pages"))
         .when(
             ~limit & F.col("duplex") & (reported % 2 != 0),
-            text("document feeder ended after an incomplete duplex pair (", reported.cast("string"), " sides)"),
+            text("odd duplex count (", reported.cast("string"), " sides)"),
         )
         .otherwise("complete")
     )
@@ -123,15 +123,15 @@ def end_reason(emitted: Column, limit: Column) -> Column:
 
 
 def page_limit_error(requested: Column) -> Column:
-    return F.when(requested <= 0, "page limit must be positive").when(
+    return F.when(requested <= 0, "limit not positive").when(
         requested > MAX_JOB_PAGES,
-        F.concat(F.lit("page limit "), requested.cast("string"), F.lit(" exceeds the supported maximum of 1000 logical sides")),
+        F.concat(F.lit("page limit "), requested.cast("string"), F.lit(": over 1000")),
     )
 
 
 def duplex_error(duplex: Column, mode: Column, requested: Column) -> Column:
-    return F.when(duplex & (mode != "document"), "duplex needs the document source").when(
-        duplex & (requested % 2 != 0), "duplex page count must be even"
+    return F.when(duplex & (mode != "document"), "duplex without document source").when(
+        duplex & (requested % 2 != 0), "duplex with odd pages"
     )
 
 
@@ -144,7 +144,7 @@ def page_limit(pages: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]
     over = counts.where(F.col("total") > F.col("requested")).select(
         "job_id",
         F.concat(
-            F.lit("emitted "), F.col("total").cast("string"), F.lit(" pages beyond the requested limit "), F.col("requested").cast("string")
+            F.lit("emitted "), F.col("total").cast("string"), F.lit(", limit "), F.col("requested").cast("string")
         ).alias("error"),
     )
     return kept, over
@@ -388,7 +388,7 @@ def saved_before_failure(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     saved = pages.groupBy("job_id").agg(F.count(F.lit(1)).alias("saved"))
     failed = jobs.where("error is not null").join(saved, "job_id", "left")
     note = F.concat(
-        F.col("error"), F.lit("; "), F.col("saved").cast("string"), F.lit(" page(s) already scanned were saved in "), F.col("out_dir")
+        F.col("error"), F.lit("; "), F.col("saved").cast("string"), F.lit(" saved in "), F.col("out_dir")
     )
     return failed.select(
         "job_id",

@@ -58,9 +58,9 @@ def tensor_limits(batch: Column, channels: Column, height: Column, width: Column
     """First violated input rule, null when accepted."""
     cells = height.cast("decimal(38,0)") * width.cast("decimal(38,0)")
     return (
-        F.when(~channels.isin(1, 3), F.concat(F.lit("supports one or three input channels, model requires "), channels.cast("string")))
-        .when(batch > MAX_BATCH, F.concat(F.lit("supports a batch dimension up to 16, model requires "), batch.cast("string")))
-        .when((cells * batch * channels > MAX_ELEMENTS) | (cells * 3 > MAX_ELEMENTS), "exceeds the 16777216-element safety limit")
+        F.when(~channels.isin(1, 3), F.concat(F.lit("channels not 1 or 3: "), channels.cast("string")))
+        .when(batch > MAX_BATCH, F.concat(F.lit("batch over 16: "), batch.cast("string")))
+        .when((cells * batch * channels > MAX_ELEMENTS) | (cells * 3 > MAX_ELEMENTS), "too many elements")
     )
 
 

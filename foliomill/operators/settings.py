@@ -117,7 +117,7 @@ def tier_column(value: Column) -> Column:
     bad = ~off & ~text.isin(*TIER_ALIASES)
     return F.struct(
         F.when(~off, tier).alias("tier"),
-        F.when(bad, F.lit("must be off or one of: light, medium, heavy")).alias("error"),
+        F.when(bad, F.lit("unknown tier")).alias("error"),
     )
 
 
@@ -132,16 +132,16 @@ def curve_parse(text: Column) -> Column:
         before = number(F.get(ps, i - 1)[0])
         at = F.concat(F.lit("curve point "), (i + 1).cast("string"))
         return (
-            F.when(F.size(p) != 2, F.concat(at, F.lit(" must be x:y")))
-            .when(x.isNull(), F.concat(at, F.lit(" has an invalid x value")))
-            .when(y.isNull(), F.concat(at, F.lit(" has an invalid y value")))
-            .when(~x.between(0, 255) | ~y.between(0, 255), F.concat(at, F.lit(" values must be in 0..=255")))
-            .when((i > 0) & (x <= before), F.lit("curve x values must be strictly increasing"))
+            F.when(F.size(p) != 2, F.concat(at, F.lit(": not x:y")))
+            .when(x.isNull(), F.concat(at, F.lit(": bad x")))
+            .when(y.isNull(), F.concat(at, F.lit(": bad y")))
+            .when(~x.between(0, 255) | ~y.between(0, 255), F.concat(at, F.lit(": outside 0-255")))
+            .when((i > 0) & (x <= before), F.lit("curve: x not rising"))
         )
 
     errors = let(parts, lambda ps: F.filter(F.transform(ps, lambda p, i: checked(ps, p, i)), lambda e: e.isNotNull()))
     first = F.get(errors, F.lit(0))
-    error = F.when(first.isNotNull(), first).when(F.size(parts) < 2, "curves must contain at least two x:y points")
+    error = F.when(first.isNotNull(), first).when(F.size(parts) < 2, "curve: too few points")
     points = F.transform(parts, lambda p: F.struct(number(p[0]).alias("x"), number(F.get(p, F.lit(1))).alias("y")))
     blank = text.isNull() | (body == "")
     return F.struct(

@@ -113,10 +113,10 @@ _add(
     f"""WITH {_req("requested", "reported", "end_reason", "duplex")}, n AS (SELECT l_orderkey AS job_id, count(*) AS published FROM lineitem GROUP BY 1),
 j AS (SELECT req.*, coalesce(published, 0) AS published FROM req LEFT JOIN n USING (job_id))
 SELECT job_id, requested, reported, published, CASE
-  WHEN reported <> published THEN format('scanner reported {{}} pages but emitted {{}}', reported, published)
-  WHEN end_reason = 'limit_reached' AND reported <> requested THEN format('scanner stopped after {{}} of {{}} requested pages', reported, requested)
-  WHEN end_reason = 'feeder_exhausted' AND reported = 0 THEN 'document feeder is empty'
-  WHEN end_reason = 'feeder_exhausted' AND duplex AND reported % 2 = 1 THEN format('document feeder ended after an incomplete duplex pair ({{}} sides)', reported)
+  WHEN reported <> published THEN format('reported {{}}, published {{}}', reported, published)
+  WHEN end_reason = 'limit_reached' AND reported <> requested THEN format('stopped at {{}} of {{}} requested', reported, requested)
+  WHEN end_reason = 'feeder_exhausted' AND reported = 0 THEN 'no pages'
+  WHEN end_reason = 'feeder_exhausted' AND duplex AND reported % 2 = 1 THEN format('odd duplex count ({{}} sides)', reported)
   ELSE 'complete' END AS status FROM j""",
 )
 _add(
@@ -130,8 +130,8 @@ _add(
     lambda spark, sf: jobs_of(spark, sf, "duplex", "mode", "requested").withColumn(
         "error", manifest.duplex_error(F.col("duplex"), F.col("mode"), F.col("requested"))
     ),
-    f"""WITH {_req("duplex", "mode", "requested")} SELECT *, CASE WHEN duplex AND mode <> 'document' THEN 'duplex needs the document source'
-  WHEN duplex AND requested % 2 <> 0 THEN 'duplex page count must be even' END AS error FROM req""",
+    f"""WITH {_req("duplex", "mode", "requested")} SELECT *, CASE WHEN duplex AND mode <> 'document' THEN 'duplex without document source'
+  WHEN duplex AND requested % 2 <> 0 THEN 'duplex with odd pages' END AS error FROM req""",
 )
 _add(
     "page_limit",
@@ -144,15 +144,15 @@ _add(
     "page_limit_exceeded",
     lambda spark, sf: manifest.page_limit(pages_of_jobs(spark, sf), jobs_of(spark, sf, "requested"))[1],
     f"""WITH {_MAN}, {_req("requested")}, t AS (SELECT job_id, count(*) AS total FROM man GROUP BY 1)
-SELECT job_id, format('emitted {{}} pages beyond the requested limit {{}}', total, requested) AS error FROM t JOIN req USING (job_id) WHERE total > requested""",
+SELECT job_id, format('emitted {{}}, limit {{}}', total, requested) AS error FROM t JOIN req USING (job_id) WHERE total > requested""",
 )
 _add(
     "page_limit_rules",
     lambda spark, sf: table(spark, sf, "orders")
     .selectExpr("o_orderkey AS job_id", "CAST(o_custkey * 7 - 3 AS INT) AS requested")
     .withColumn("error", manifest.page_limit_error(F.col("requested"))),
-    """SELECT *, CASE WHEN requested <= 0 THEN 'page limit must be positive'
-  WHEN requested > 1000 THEN 'page limit ' || requested || ' exceeds the supported maximum of 1000 logical sides' END AS error
+    """SELECT *, CASE WHEN requested <= 0 THEN 'limit not positive'
+  WHEN requested > 1000 THEN 'page limit ' || requested || ': over 1000' END AS error
 FROM (SELECT o_orderkey AS job_id, CAST(o_custkey * 7 - 3 AS INT) AS requested FROM orders)""",
 )
 _SAID = "CASE turn % 5 WHEN 0 THEN concat(text, ' Out of Documents.') WHEN 1 THEN concat('PAPER EMPTY ', text) WHEN 2 THEN concat(text, ' no  paper') ELSE text END"
@@ -314,7 +314,7 @@ _add(
     "saved_before_failure",
     lambda spark, sf: manifest.saved_before_failure(jobs_of(spark, sf, "error", "out_dir"), pages_of_jobs(spark, sf)),
     f"""WITH {_req("error", "out_dir")}, n AS (SELECT l_orderkey AS job_id, count(*) AS saved FROM lineitem GROUP BY 1)
-SELECT job_id, coalesce(saved, 0) AS saved, CASE WHEN saved > 0 THEN error || '; ' || saved || ' page(s) already scanned were saved in ' || out_dir ELSE error END AS message
+SELECT job_id, coalesce(saved, 0) AS saved, CASE WHEN saved > 0 THEN error || '; ' || saved || ' saved in ' || out_dir ELSE error END AS message
 FROM req LEFT JOIN n USING (job_id) WHERE error IS NOT NULL""",
 )
 
@@ -419,8 +419,8 @@ _add(
     lambda spark, sf: catalogs.manufacturer_resolve(_devices(spark, sf)),
     f"""WITH dev AS (SELECT c_custkey, {_DEVICE} AS name FROM customer), {_RESOLVED}
 SELECT r.c_custkey, r.name, m.id AS manufacturer_id, m.maker AS manufacturer_name, CASE WHEN matched_by IS NULL THEN 'unknown' ELSE 'ok' END AS status, matched_by,
-  CASE WHEN q = '' THEN 'empty query' WHEN matched_by = 'vid' THEN 'matched USB VID ' || r.vid WHEN matched_by = 'name_token' THEN 'matched name token for ' || m.maker
-  ELSE 'no catalog manufacturer matched' END AS message FROM res r LEFT JOIN makers m ON r.ord = m.ord""",
+  CASE WHEN q = '' THEN 'empty query' WHEN matched_by = 'vid' THEN 'vid ' || r.vid WHEN matched_by = 'name_token' THEN 'token of ' || m.maker
+  ELSE 'no match' END AS message FROM res r LEFT JOIN makers m ON r.ord = m.ord""",
 )
 _add(
     "manufacturer_summary",
@@ -720,7 +720,7 @@ _add(
     .select("l_orderkey", "l_linenumber", "l_suppkey", "asked", "_t.tier", "_t.error"),
     f"""WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey, {_TIER} AS asked FROM lineitem),
 m AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TIER_ALIASES.items())}) t(alias, tier))
-SELECT l_orderkey, l_linenumber, l_suppkey, asked, tier, CASE WHEN tier IS NULL AND lower(trim(asked)) NOT IN ({_quoted(TIER_OFF)}) THEN 'must be off or one of: light, medium, heavy' END AS error
+SELECT l_orderkey, l_linenumber, l_suppkey, asked, tier, CASE WHEN tier IS NULL AND lower(trim(asked)) NOT IN ({_quoted(TIER_OFF)}) THEN 'unknown tier' END AS error
 FROM a LEFT JOIN m ON lower(trim(asked)) = alias""",
 )
 _CURVE = """CASE l_linenumber WHEN 1 THEN concat('0:', l_suppkey % 256, ', 128:200 ,255:', l_partkey % 256) WHEN 2 THEN concat('10:20,', l_suppkey % 20, ':30')
@@ -734,9 +734,9 @@ _add(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
  CASE l_linenumber WHEN 1 THEN concat('0:', l_suppkey % 256, ',128:200,255:', l_partkey % 256) WHEN 2 THEN CASE WHEN l_suppkey % 20 > 10 THEN concat('10:20,', l_suppkey % 20, ':30') ELSE '' END
    WHEN 4 THEN CASE WHEN l_partkey <= 255 THEN concat('0:0,7:', l_partkey) ELSE '' END ELSE '' END AS points,
- CASE l_linenumber WHEN 2 THEN CASE WHEN l_suppkey % 20 <= 10 THEN 'curve x values must be strictly increasing' END WHEN 3 THEN 'curve point 1 must be x:y'
-   WHEN 4 THEN CASE WHEN l_partkey > 255 THEN 'curve point 2 values must be in 0..=255' END WHEN 5 THEN 'curve point 2 has an invalid x value'
-   WHEN 7 THEN 'curves must contain at least two x:y points' END AS error FROM lineitem""",
+ CASE l_linenumber WHEN 2 THEN CASE WHEN l_suppkey % 20 <= 10 THEN 'curve: x not rising' END WHEN 3 THEN 'curve point 1: not x:y'
+   WHEN 4 THEN CASE WHEN l_partkey > 255 THEN 'curve point 2: outside 0-255' END WHEN 5 THEN 'curve point 2: bad x'
+   WHEN 7 THEN 'curve: too few points' END AS error FROM lineitem""",
 )
 _NAME = """CASE c_custkey % 12 WHEN 0 THEN 'CON' WHEN 1 THEN concat('lpt', c_custkey % 10, '.pdf') WHEN 2 THEN '..' WHEN 3 THEN concat(c_name, ' ') WHEN 4 THEN concat(c_name, ':', c_mktsegment)
   WHEN 5 THEN repeat(c_name, CAST(c_custkey % 9 AS INT)) WHEN 6 THEN 'com10' WHEN 7 THEN concat('a', chr(7), 'b') WHEN 8 THEN concat(c_name, '.') WHEN 9 THEN 'nul.tar.gz' ELSE c_name END"""

@@ -315,9 +315,9 @@ _add(
     .withColumn("error", scoring.tensor_limits(F.col("batch"), F.col("channels"), F.col("height"), F.col("width")))
     .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "error"),
     f"""WITH s AS (SELECT *, CAST(l_quantity AS INT) AS batch, {_SIDES} FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber NOT IN (1, 3) THEN 'supports one or three input channels, model requires ' || l_linenumber
-  WHEN batch > 16 THEN 'supports a batch dimension up to 16, model requires ' || batch
-  WHEN CAST(height AS BIGINT) * width * batch * l_linenumber > 16777216 OR CAST(height AS BIGINT) * width * 3 > 16777216 THEN 'exceeds the 16777216-element safety limit' END AS error FROM s""",
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber NOT IN (1, 3) THEN 'channels not 1 or 3: ' || l_linenumber
+  WHEN batch > 16 THEN 'batch over 16: ' || batch
+  WHEN CAST(height AS BIGINT) * width * batch * l_linenumber > 16777216 OR CAST(height AS BIGINT) * width * 3 > 16777216 THEN 'too many elements' END AS error FROM s""",
 )
 _add(
     "tensor_summary",

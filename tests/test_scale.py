@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliomill.functions.scale import join_page_stats, prefix_scan, salted_join
+from foliomill.functions.scale import join_page_stats, lookup_join, prefix_scan, salted_join
 from foliomill.operators import manifest, textlayer
 
 
@@ -75,3 +75,15 @@ def test_path_claimed_often_is_one_row(spark):
     outputs = spark.range(5000).selectExpr("1 AS job_id", "'doc' AS label", "concat('a/./b/../', 'x.pdf') AS path", "CAST(NULL AS BIGINT) AS page_no")
     got = manifest.output_conflicts(outputs).collect()
     assert len(got) == 1 and got[0]["claims"] == 5000 and got[0]["target"] == "a/x.pdf"
+
+
+def test_small_catalogs_do_not_move_the_many(spark):
+    """A counted catalog is broadcast; a larger one still gives the same rows."""
+    many = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    one = spark.range(6).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    small = lookup_join(many, one, ["k"], F.col("id"))
+    large = lookup_join(many, one, ["k"], F.col("id"), most=2)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(k" not in plan
+    rows = lambda df: sorted(map(tuple, df.select("k", "id", "v").collect()), key=repr)
+    assert rows(small) == rows(large) and len(rows(small)) == 1000

@@ -106,9 +106,9 @@ def test_curves(spark):
     texts = ["0:0, 128:200,255:255", "", "5:1", "0:0,0:1", "0:0,300:1", "a:1,2:2", "1:2:3,4:5", "0:0,9:x"]
     errors = many(spark, texts, lambda c: settings.curve_parse(c)["error"])
     assert errors == [
-        None, None, "curves must contain at least two x:y points", "curve x values must be strictly increasing",
-        "curve point 2 values must be in 0..=255", "curve point 1 has an invalid x value", "curve point 1 must be x:y",
-        "curve point 2 has an invalid y value",
+        None, None, "curve: too few points", "curve: x not rising",
+        "curve point 2: outside 0-255", "curve point 1: bad x", "curve point 1: not x:y",
+        "curve point 2: bad y",
     ]
     assert many(spark, texts[:2], lambda c: settings.curve_format(settings.curve_parse(c)["points"])) == ["0:0,128:200,255:255", ""]
 
@@ -267,8 +267,8 @@ def test_batch_end_states(spark):
     )
     pages = spark.createDataFrame([(1,), (1,), (2,), (2,), (4,), (4,), (4,), (5,)], "job_id int")
     got = {r["job_id"]: r["status"] for r in manifest.batch_complete(jobs, pages).collect()}
-    assert got[1] == "complete" and got[2].startswith("scanner stopped after 2 of 3") and got[3] == "document feeder is empty"
-    assert "incomplete duplex pair (3 sides)" in got[4] and got[5] == "scanner reported 5 pages but emitted 1"
+    assert got[1] == "complete" and got[2].startswith("stopped at 2 of 3") and got[3] == "no pages"
+    assert "odd duplex count (3 sides)" in got[4] and got[5] == "reported 5, published 1"
 
 
 def test_cache_stops_at_first_miss(spark):
