@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scale import fresh_shared_path
 
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +37,19 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of about BATCH_BYTES, however long the texts are.
+
+    Spark's own limits are 10,000 rows and hundreds of megabytes, which JVM and Python
+    would each hold more than once.  A smaller limit that the session has set is kept.
+    """
+    spark = df.sparkSession
+    said = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_LIMIT, str(1 << 30)))
+    if not 0 < said <= BATCH_BYTES:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """Apply a function of one Arrow batch to every batch; it may return columns by name."""
 
@@ -43,4 +59,4 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
                 out = function(batch)
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_arrow, map_batches
 from .learning import Adam, sample, sigmoid, texts_of
 from .textbytes import LOWER, SPACE, mix, text_bytes, text_slices
 
@@ -173,4 +173,4 @@ def predicted(docs: DataFrame, model: Decoder) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", "text", letters.alias("letters")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return map_arrow(docs.select("doc_id", "text", letters.alias("letters")), run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")

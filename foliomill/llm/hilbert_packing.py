@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, write_table
+from .common import map_arrow, map_batches, write_table
 from .textbytes import mix
 from .tokens import Encoder, with_end
 
@@ -148,7 +148,8 @@ def packed(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH) -> D
     made = map_batches(docs, lambda x: _encoded(x, tokenizer, end), "doc_id bigint, key bigint, ids binary")
     width = Encoder.of(tokenizer).dtype.itemsize
     along = write_table(made, "encoded").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
-    return along.mapInArrow(
+    return map_arrow(
+        along,
         lambda batches: _pieces(batches, length, width),
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     )

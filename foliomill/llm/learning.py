@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 _WHOLE = 1 << 40
 
 
@@ -50,7 +52,7 @@ def score_documents(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], na
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], name: pa.array(score(batch["text"]), pa.float64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {name} double")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, {name} double")
 
 
 def keep_documents(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
@@ -60,7 +62,7 @@ def keep_documents(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> D
         for batch in batches:
             yield batch.filter(pa.array(keep(batch["text"])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
 from .textbytes import ALNUM, LOWER, text_bytes, text_slices, words
 
 COVERAGE = 0.9
@@ -158,4 +159,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
                 finds.sort(key=lambda x: (x["first"], x["license"]))
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "finds": pa.array(out, pa.list_(find))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, finds array<struct<license:string,first:bigint,end:bigint,coverage:double>>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, finds array<struct<license:string,first:bigint,end:bigint,coverage:double>>")

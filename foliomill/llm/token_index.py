@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scale import fresh_shared_path
-from .common import write_table
+from .common import map_arrow, write_table
 from .textbytes import mix
 from .tokens import Encoder, with_end
 
@@ -190,7 +190,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int, shard_bytes: int = S
     shared.mkdirs(where)
     shared.deleteOnExit(where)
     dealt = docs.repartitionByRange(max(1, math.ceil(size / shard_bytes)), "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    shards = dealt.mapInArrow(lambda batches: _write_shard(batches, path, tokenizer, end), "path string, part bigint, docs bigint, ids bigint")
+    shards = map_arrow(dealt, lambda batches: _write_shard(batches, path, tokenizer, end), "path string, part bigint, docs bigint, ids bigint")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return write_table(shards, "shards").withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -216,4 +216,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 )
 
     dealt = shards.select("path", "start").repartition("path")
-    return dealt.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_arrow(dealt, run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

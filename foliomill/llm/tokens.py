@@ -22,7 +22,7 @@ _VISIBLE = byte_table((0x21, 0x7E))
 _LETTER = byte_table((0x41, 0x5A), (0x61, 0x7A))
 _MARK = _VISIBLE & ~_LETTER & ~byte_table((0x30, 0x39))
 _LEAD = byte_table((0xC3, 0xDF))  # of two-byte characters, none of which is white space
-_MOST_UNITS, _MOST_IDS = 400_000, 4_000_000
+_MOST_UNITS, _MOST_IDS = 200_000, 2_000_000
 
 
 def _unit_starts(piece: np.ndarray) -> np.ndarray:

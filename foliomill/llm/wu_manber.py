@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .textbytes import ALNUM, LOWER, mix, text_bytes, words
 
 WINDOW = 10
@@ -204,7 +205,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_by
             for batch in batches:
                 yield pa.RecordBatch.from_pydict(_marked(index.value, batch))
 
-        state = state.select("doc_id", "text", "spans", "items").mapInArrow(run, schema)
+        state = map_arrow(state.select("doc_id", "text", "spans", "items"), run, schema)
     return state.drop("text")
 
 
@@ -220,5 +221,5 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, par
                     hit[np.searchsorted(first, where, "right") - 1] = True
                 yield batch.filter(pa.array(~hit))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs
