@@ -99,3 +99,19 @@ def test_nothing_to_learn_from(spark):
     got = {r.doc_id: r for r in rows}
     assert got[1].score == pytest.approx(3 * math.log10(1 / 255), rel=1e-5) and got[1].base_score == 0 and got[1].n_known == 0
     assert ppm.scored(nothing(spark), F.lit(False)).collect() == []
+
+
+@pytest.mark.parametrize("shares", [(ppm.TRIE_SHARE, ppm.GRAM_SHARE), (1e-3, 1e-4), (2.0, 2.0)])
+def test_every_context_counts_at_any_size(spark, monkeypatch, shares):
+    """A context seen twice among many symbols predicts, from the trie, from broadcast n-grams or joined."""
+    monkeypatch.setattr(ppm, "TRIE_SHARE", shares[0])
+    monkeypatch.setattr(ppm, "GRAM_SHARE", shares[1])
+    random = np.random.default_rng(1)
+    texts = {i: bytes(random.choice(list(b"abcde fgh"), 20_000).tolist()).decode() for i in range(20)}
+    texts |= {20: "qzxjv qzxjv", 21: "qzxjvk", 22: "Qzxjv", 23: None, 24: "éñ!"}
+    out = {d: d >= 21 for d in texts}
+    rows = [(d, t, "en") for d, t in texts.items()]
+    got = {r.doc_id: r for r in ppm.scored(frame(spark, rows), F.col("doc_id") >= 21).collect()}
+    want = brute(texts, out, [3, 20, 21, 22, 23, 24])
+    for d, (*_, score) in want.items():
+        assert got[d].score == pytest.approx(score, rel=1e-5), d
