@@ -6,12 +6,15 @@ space that follows a visible character, and between an ASCII letter and ASCII
 punctuation); each different unit is encoded once by the tokenizer and its ids
 are put together again by array indexing.  The result is that of encoding the
 whole text; the cut may only be used with tokenizers that pass ``fits_units``.
+An added token of the tokenizer file (``<|endoftext|>``) is a unit of its own wherever it
+occurs in a text, and becomes its id, as the library does by default.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +42,43 @@ def fits_units(path: str) -> bool:
         made = json.load(file)
     split = made.get("pre_tokenizer") or {}
     plain = not made.get("normalizer") and not split.get("add_prefix_space") and split.get("use_regex", True)
+    added = made.get("added_tokens") or []
+    plain = plain and not any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip")) and len({x["normalized"] for x in added}) < 2
     return made["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and plain
 
 
+def _added_tokens(path: str, as_text: bool) -> re.Pattern | None:
+    """Finds the added tokens, the longest first; special ones only if they are not ``as_text``."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file).get("added_tokens") or []
+    found = sorted((x["content"].encode() for x in made if not (as_text and x["special"])), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, found))) if found else None
+
+
 class Encoder:
-    """One tokenizer file in one worker, with a bounded store of the units it has seen."""
+    """One tokenizer file in one worker, with a bounded store of the units it has seen.
+
+    ``as_text`` reads special tokens in a text as ordinary text; the operators do not (``of``).
+    """
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, as_text: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if not fits_units(path):
             raise ValueError(f"{path} is not a plain byte-level BPE")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = as_text
+        self.added = _added_tokens(path, as_text)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._clear()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in cls._made:
-            cls._made[path] = cls(path)
+            cls._made[path] = cls(path, as_text=False)
         return cls._made[path]
 
     def _clear(self) -> None:
@@ -89,12 +106,25 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the n + 1 offsets; a null is an empty text."""
         data, offsets = text_bytes(column)
+        first_added, end_added = self._added(data, offsets)
         parts, sizes, starts = [np.zeros(0, self.dtype)], [], []
         at = 0
         while at < len(data):
             stop = self._piece_end(data, at + PIECE, offsets)
+            k = int(np.searchsorted(end_added, stop, side="right"))
+            if k < len(first_added) and first_added[k] < stop:
+                stop = int(end_added[k])
             piece = data[at:stop]
             begin = _unit_starts(piece)
+            i, k = np.searchsorted(first_added, [at, stop])
+            if i < k:
+                left, right = first_added[i:k] - at, end_added[i:k] - at
+                inside = np.zeros(len(piece) + 1, np.int8)
+                np.add.at(inside, left, 1)
+                np.add.at(inside, right, -1)
+                begin &= np.cumsum(inside)[:-1] == 0
+                begin[left] = True
+                begin[right[right < len(piece)]] = True
             begin[0] = True
             begin[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)] - at] = True
             start = np.flatnonzero(begin)
@@ -113,6 +143,15 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         return ids, total[np.searchsorted(np.concatenate(starts), offsets)]
 
+    def _added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end byte of each added token; none reaches from one text into the next."""
+        found = []
+        raw = data.tobytes() if self.added else b""
+        if self.added and self.added.search(raw):
+            found = [x.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for x in self.added.finditer(raw, a, b)]
+        spans = np.array(found, np.int64).reshape(-1, 2)
+        return spans[:, 0], spans[:, 1]
+
     @staticmethod
     def _piece_end(data: np.ndarray, at: int, offsets: np.ndarray) -> int:
         """First place from ``at`` on where a text or a unit starts."""

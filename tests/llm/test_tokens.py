@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import ODD, nothing, odd
+from brute import ODD, frame, nothing, odd
 
 from foliomill.llm import hilbert_packing, token_index, tokens
 from foliomill.llm.queries import QUERIES, tokenizer_path
@@ -126,3 +126,27 @@ def test_hilbert_curve_is_a_path_through_all_cells():
     keys = hilbert_packing.hilbert_keys(grid, 3)
     assert sorted(keys.tolist()) == list(range(4096))
     assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 97])
+def test_added_tokens_as_the_library_reads_them(monkeypatch, piece):
+    """Against the library's own call, also with the token next to letters, at ends, cut between texts, and in a row."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "PIECE", piece)
+    monkeypatch.setattr(tokens.Encoder, "_made", {})
+    whole = Tokenizer.from_file(tokenizer_path())
+    pick = random.Random(4)
+    parts = ["a", "B", "é", " ", "  ", "\n", "'s", ".", "<|endoftext|>", "<|endof", "text|>", "<", "|>", "中", "9"]
+    made = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 80))) for _ in range(1500)]
+    made += ["a <|endoftext|> b", "x<|endof", "text|>y", None, "<|endoftext|>" * 40]
+    ids, offsets = tokens.Encoder.of(tokenizer_path()).encode(pa.array(made))
+    for i, text in enumerate(made):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(text or "", add_special_tokens=False).ids, text
+    assert ids[offsets[1500] : offsets[1501]].tolist() == [64, 220, 50256, 275]
+
+
+def test_index_rows_of_a_text_with_an_added_token(spark):
+    rows = [(1, "a <|endoftext|> b", "en"), (2, "c", "en")]
+    got = {r.doc_id: r for r in token_index.read_documents(token_index.write_shards(frame(spark, rows), tokenizer_path(), 2)).collect()}
+    assert (got[1].n_tokens, got[1].ids_crc32, got[2].start) == (5, crc([64, 220, 50256, 275, 2]), 5)
