@@ -7,11 +7,14 @@ between them are aligned in the same way, until a gap has no anchors.  Equal
 words at the ends of a stretch are matched at once.  The coverage of a template
 is the share of its words that were matched.
 
-A text is looked at in windows of somewhat more words than the template has.
-Windows with too few of the template's words, or of its different words, cannot reach the
-wanted coverage and are passed over by counts over the whole column; the others are
-aligned in order, and after a find the search goes on behind it, so that a
-license given twice is found twice.
+A text is looked at in windows that start at each of its template words, in order;
+after a find the search goes on behind it, so that a license given twice is found
+twice.  The first windows have somewhat more words than the template; what lies
+between the finds is looked at again in windows twice as wide, and so on up to its
+whole length.  So the closest reading of a license wins, and one that is spread by
+other text is found however wide.  Texts, stretches and windows that cannot reach the wanted
+coverage are passed over: by counts of words, and by the longest common subsequence
+with the template, which no alignment exceeds.
 
 Defined results: null, empty and wordless texts have no finds; templates without
 words are left out; rows that repeat a doc_id are scanned one by one; extra
@@ -91,6 +94,59 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def common(text: list[int], template: list[int]) -> int:
+    """Length of a longest common subsequence, with one bit per template word."""
+    places: dict[int, int] = {}
+    for j, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << j
+    all_ = free = (1 << len(template)) - 1
+    for w in text:
+        if w in places:
+            hit = free & places[w]
+            free = ((free + hit) | (free - hit)) & all_
+    return len(template) - free.bit_count()
+
+
+def finds(text: list[int], template: list[int], need: int) -> list[tuple[int, int, int]]:
+    """(first word, end word, matched words) of each find in one text."""
+    n, words_ = len(template), set(template)
+    different = len(words_) - (n - need)
+    member = np.fromiter((w in words_ for w in text), bool, len(text))
+    total = np.concatenate([[0], np.cumsum(member)])
+    width, found = n + n // 4 + 8, []
+    open_ = [(0, len(text))]
+    while open_:
+        left = []
+        again = False
+        for a, b in open_:
+            if total[b] - total[a] < need or common(text[a:b], template) < need:
+                continue
+            start = a + np.flatnonzero(member[a:b])
+            end = np.minimum(start + width, b)
+            able = total[end] - total[start] >= need
+            free = a
+            for i, k in zip(start[able].tolist(), end[able].tolist(), strict=True):
+                if i < free:
+                    continue
+                stretch = text[i:k]
+                if len(words_.intersection(stretch)) < different or common(stretch, template) < need:
+                    continue
+                pairs = align(stretch, template)
+                if len(pairs) >= need:
+                    first, stop, at = i + pairs[0][0], i + pairs[-1][0] + 1, pairs[-1][1] + 1
+                    matched = len(pairs)
+                    while stop < b and at < n and text[stop] == template[at]:  # the window ended inside the license
+                        stop, at, matched = stop + 1, at + 1, matched + 1
+                    found.append((first, stop, matched))
+                    left.append((free, first))
+                    free, again = stop, True
+            left.append((free, b))
+            again |= b - a > width
+        open_ = left if again else []
+        width *= 2
+    return found
+
+
 @dataclass
 class Scanner:
     names: list[str]
@@ -109,34 +165,15 @@ class Scanner:
     def find(self, code: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, template, first word, end word, coverage) of each find; ``code`` is -1 for words of no template."""
         n_text = len(first) - 1
+        text = np.repeat(np.arange(n_text), np.diff(first))
+        seen, times = np.unique((text * len(self.hashes) + code)[code >= 0], return_counts=True)
         for k, template in enumerate(self.templates):
-            n = len(template)
-            width, step = n + n // 4 + 8, max(1, n // 8)
-            need = int(np.ceil(self.coverage * n - 1e-9))
-            member = np.zeros(len(self.hashes) + 1, bool)
-            member[template] = True
-            total = np.concatenate([[0], np.cumsum(member[code])])
-            start = np.arange(len(code))
-            text = np.repeat(np.arange(n_text), np.diff(first))
-            end = np.minimum(start + width, first[1:][text])
-            able = start[(total[end] - total[start] >= need) & member[code]]
-            different = len(set(template)) - (n - need)
-            free, last = 0, -1
-            for i in able.tolist():
-                t = int(text[i])
-                if t != last:
-                    free, last = 0, t
-                if i < free:
-                    continue
-                stretch = code[i : end[i]].tolist()
-                if len(set(stretch) & set(template)) < different:
-                    continue
-                pairs = align(stretch, template)
-                if len(pairs) >= need:
-                    yield t, k, i + pairs[0][0] - int(first[t]), i + pairs[-1][0] + 1 - int(first[t]), len(pairs) / n
-                    free = i + pairs[-1][0] + 1
-                else:
-                    free = i + step
+            need = int(np.ceil(self.coverage * len(template) - 1e-9))
+            wanted = np.bincount(template, minlength=len(self.hashes))
+            shared = np.bincount(seen // len(self.hashes), weights=np.minimum(times, wanted[seen % len(self.hashes)]), minlength=n_text) if len(seen) else np.zeros(n_text)
+            for t in np.flatnonzero(shared >= need).tolist():
+                for begin, end, matched in finds(code[first[t] : first[t + 1]].tolist(), template, need):
+                    yield t, k, begin, end, matched / len(template)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
