@@ -76,14 +76,11 @@ def curve_keys(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _encoded(batch: pa.RecordBatch, tokenizer: str, end: int) -> dict:
     encoder = Encoder.of(tokenizer)
-    keys, packed = [], []
-    for at in range(0, batch.num_rows, 1024):
-        ids, offsets = with_end(*encoder.encode(batch["text"].slice(at, 1024)), end)
-        keys.append(curve_keys(ids, offsets))
-        raw = pa.py_buffer(ids.astype(encoder.dtype).tobytes())
-        bytes_ = pa.array(offsets * encoder.dtype.itemsize, pa.int32())
-        packed.append(pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, bytes_.buffers()[1], raw]))
-    return {"doc_id": batch["doc_id"], "key": pa.array(np.concatenate(keys)), "ids": pa.concat_arrays(packed)}
+    ids, offsets = with_end(*encoder.encode(batch["text"]), end)
+    raw = pa.py_buffer(ids.astype(encoder.dtype, copy=False).tobytes())
+    bytes_ = pa.array(offsets * encoder.dtype.itemsize, pa.int32())
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, bytes_.buffers()[1], raw])
+    return {"doc_id": batch["doc_id"], "key": pa.array(curve_keys(ids, offsets)), "ids": packed}
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:

@@ -145,15 +145,15 @@ def _write_shard(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, e
     keys, missing, sizes = [], [], []
     stream = None
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            ids, offsets = with_end(*encoder.encode(part["text"]), end)
-            if stream is None:
-                stream = files.open_output_stream(own + ".ids")
-            stream.write(ids.astype(encoder.dtype).tobytes())
-            keys.append(part["doc_id"].fill_null(0).to_numpy())
-            missing.append(part["doc_id"].is_null().to_numpy(zero_copy_only=False))
-            sizes.append(np.diff(offsets))
+        if not batch.num_rows:
+            continue
+        ids, offsets = with_end(*encoder.encode(batch["text"]), end)
+        if stream is None:
+            stream = files.open_output_stream(own + ".ids")
+        stream.write(ids.astype(encoder.dtype, copy=False).tobytes())
+        keys.append(batch["doc_id"].fill_null(0).to_numpy())
+        missing.append(batch["doc_id"].is_null().to_numpy(zero_copy_only=False))
+        sizes.append(np.diff(offsets))
     if stream is None:
         return
     stream.close()

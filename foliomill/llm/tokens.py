@@ -25,7 +25,8 @@ _VISIBLE = byte_table((0x21, 0x7E))
 _LETTER = byte_table((0x41, 0x5A), (0x61, 0x7A))
 _MARK = _VISIBLE & ~_LETTER & ~byte_table((0x30, 0x39))
 _LEAD = byte_table((0xC3, 0xDF))  # of two-byte characters, none of which is white space
-_MOST_UNITS, _MOST_IDS = 200_000, 2_000_000
+#: Units and ids of a full generation of the store; units encoded as one text.
+_MOST_UNITS, _MOST_IDS, _CHAIN = 300_000, 3_000_000, 256
 
 
 def _unit_starts(piece: np.ndarray) -> np.ndarray:
@@ -55,9 +56,39 @@ def _added_tokens(path: str, as_text: bool) -> re.Pattern | None:
     return re.compile(b"|".join(map(re.escape, found))) if found else None
 
 
+class _Store:
+    """Units by hash (sorted), and where their ids are."""
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, dtype)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key, and whether it is there."""
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return place, self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Add units (sorted keys that are not there) with their ids, one after the other."""
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the units at the places."""
+        size = self.size[place]
+        total = np.cumsum(size)
+        return size, self.ids[np.repeat(self.start[place] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+
+
 class Encoder:
     """One tokenizer file in one worker, with a bounded store of the units it has seen.
 
+    The store has two generations: when the young one is full it becomes the old one, and
+    units found there move on, so a unit that keeps coming is encoded once.
     ``as_text`` reads special tokens in a text as ordinary text; the operators do not (``of``).
     """
 
@@ -72,8 +103,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = as_text
         self.added = _added_tokens(path, as_text)
+        vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self._clear()
+        # A character of a token stands for one byte.
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.young, self.old = _Store(self.dtype), _Store(self.dtype)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -81,27 +116,58 @@ class Encoder:
             cls._made[path] = cls(path, as_text=False)
         return cls._made[path]
 
-    def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.dtype)
-
-    def _known(self, hashes: np.ndarray, units: list[tuple[int, int]], data: np.ndarray) -> np.ndarray:
-        """Places of the units in the store; those it lacks are encoded and added."""
-        if len(self.place) + len(units) > _MOST_UNITS or len(self.ids) > _MOST_IDS:
-            self._clear()
-        keys = hashes.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.place]
-        if new:
-            made = self.tokenizer.encode_batch_fast([data[units[i][0] : units[i][1]].tobytes().decode() for i in new], add_special_tokens=False)
-            found = [x.ids for x in made]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            for k, i in enumerate(new):
-                self.place[keys[i]] = len(self.size) + k
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for ids in found for x in ids), self.dtype, int(size.sum()))])
-        return np.fromiter((self.place[key] for key in keys), np.int64, len(keys))
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chain(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Sizes and ids of units that may follow each other; they are encoded as a few texts and told apart by their bytes."""
+        parts = [b"".join(units[i : i + _CHAIN]) for i in range(0, len(units), _CHAIN)]
+        ids = np.concatenate([np.array(x, np.int64) for x in self._ids([x.decode() for x in parts])])
+        end = np.cumsum(self.bytes_of[ids])
+        last = np.searchsorted(end, np.cumsum([len(x) for x in units]))
+        if len(ids) == 0 or last[-1] != len(ids) - 1 or (end[last] != np.cumsum([len(x) for x in units])).any():
+            return None
+        return np.diff(last, prepend=-1), ids.astype(self.dtype)
+
+    def _encoded(self, piece: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the units between the given bytes."""
+        raw = piece.tobytes()
+        first, last, lead = piece[start], piece[end - 1], np.where(end - start > 1, piece[end - 2], 0)
+        visible = _VISIBLE[last] | ((last >= 0x80) & _LEAD[lead])
+        spaced = SPACE[first] & visible
+        marked = _MARK[first] & _LETTER[last]
+        size, places, parts = np.zeros(len(start), np.int64), [], []
+        for chosen in (spaced, marked, ~spaced & ~marked):
+            at = np.flatnonzero(chosen)
+            if not len(at):
+                continue
+            units = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            told = self._chain(units) if spaced[at[0]] or marked[at[0]] else None
+            if told is None:
+                found = self._ids([x.decode() for x in units])
+                told = np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((x for ids in found for x in ids), self.dtype)
+            size[at] = told[0]
+            places.append(at)
+            parts.append(told[1])
+        # The ids of the three kinds back into the order of the units.
+        place, ids = np.concatenate(places), np.concatenate(parts)
+        owner = np.repeat(place, size[place])
+        return size, ids[np.argsort(owner, kind="stable")]
+
+    def _known(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Places of the units (distinct, in order of their hashes) in the young store; those it lacks are added."""
+        if len(self.young.keys) > _MOST_UNITS or len(self.young.ids) > _MOST_IDS:
+            self.young, self.old = _Store(self.dtype), self.young
+        new = np.flatnonzero(~self.young.find(hashes)[1])
+        if len(new):
+            place, there = self.old.find(hashes[new])
+            moved = new[there]
+            if len(moved):
+                self.young.add(hashes[moved], *self.old.of(place[there]))
+            new = new[~there]
+            if len(new):
+                self.young.add(hashes[new], *self._encoded(piece, start[new], end[new]))
+        return self.young.find(hashes)[0]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the n + 1 offsets; a null is an empty text."""
@@ -130,10 +196,9 @@ class Encoder:
             start = np.flatnonzero(begin)
             end = np.append(start[1:], len(piece))
             hashes, first, inverse = np.unique(span_hash(AS_IS[piece], start, end), return_index=True, return_inverse=True)
-            place = self._known(hashes, list(zip(start[first].tolist(), end[first].tolist(), strict=True)), piece)[inverse]
-            size = self.size[place]
-            total = np.cumsum(size)
-            parts.append(self.ids[np.repeat(self.start[place] - total + size, size) + np.arange(total[-1])])
+            place = self._known(hashes, start[first], end[first], piece)[inverse]
+            size, ids = self.young.of(place)
+            parts.append(ids)
             sizes.append(size)
             starts.append(start + at)
             at = stop
