@@ -1,7 +1,16 @@
 """Job events reduced to reports, progress and output reconciliation.
 
-``events``: job_id, seq, kind, phase, path, output, error where kind is one of
-progress | published | publishing | finish | cancel | fail.
+``events``: job_id, seq, kind, phase, path, output, error and, where jobs end
+regularly, ``paths`` (array) and ``reason``; kind is one of
+progress | published | raw | publishing | finish | cancel | fail.
+
+* ``published`` adds a file of the kind ``output``; a page is one side.
+* ``raw`` adds a file of the kind ``raw``, which is no side.
+* ``finish`` adds its ``paths`` (of the kind ``output``, else page) in their order and
+  sets the sides to their number; without ``paths`` it leaves the sides as they are.
+  ``reason`` says why the pages ended.
+* A path is one file; its first event decides its kind.
+* ``seq`` orders the events of a job; pages count as sides if they follow the last finish that set them.
 """
 
 from __future__ import annotations
@@ -9,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import prefix_scan
+from ..functions.scale import ORDER_BLOCK, prefix_scan
 
 PHASES = {
     "open": "Acquiring", "acquire": "Acquiring", "batch": "Acquiring",
@@ -33,36 +42,81 @@ def terminal_of(kind: Column) -> Column:
     return out
 
 
-def partial_report(events: DataFrame, *keys: str) -> DataFrame:
-    """Mergeable report pieces per key: last phase and last terminal with
-    their positions, page events, distinct paths (the keys must fix the path's
-    bucket for that count to add up)."""
-    kind, seq = F.col("kind"), F.col("seq")
-    moved = phase_after(kind, F.col("phase"))
-    ended = kind.isin(*TERMINALS)
-    published = kind == "published"
-    # Paths first: one row per key and path, combined before the shuffle.
-    per_path = events.groupBy(*keys, F.when(published, F.col("path")).alias("path")).agg(
-        F.max(F.when(moved.isNotNull(), F.struct(seq, moved.alias("phase")))).alias("moved"),
-        F.max(F.when(ended, F.struct(seq, terminal_of(kind).alias("terminal"), F.col("error")))).alias("ended"),
-        F.count_if(published & (F.col("output") == "page")).alias("sides"),
-        F.count(F.lit(1)).alias("events"),
+def with_end_columns(events: DataFrame) -> DataFrame:
+    """Events that never carry ``paths`` or ``reason`` get them as nulls."""
+    for name, kind in (("paths", "array<string>"), ("reason", "string")):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast(kind))
+    return events
+
+
+def file_rows(events: DataFrame) -> DataFrame:
+    """One row per file that an event adds, and one for an event without files.
+
+    ``head`` marks the first row of each event; ``assigned`` is the number of
+    sides that a finish sets, ``page`` whether the row is a published page.
+    """
+    events = with_end_columns(events)
+    kind = F.col("kind")
+    one = F.array(F.struct(F.lit(0).alias("ordinal"), F.col("path").alias("path"), F.when(kind == "raw", "raw").otherwise(F.col("output")).alias("output")))
+    of_finish = F.transform("paths", lambda p, i: F.struct(i.alias("ordinal"), p.alias("path"), F.coalesce("output", F.lit("page")).alias("output")))
+    files = F.when(kind.isin("published", "raw"), one).when(kind == "finish", of_finish)
+    rows = events.select(
+        "job_id",
+        "seq",
+        phase_after(kind, F.col("phase")).alias("moved"),
+        terminal_of(kind).alias("ended"),
+        F.when(kind == "fail", F.col("error")).alias("error"),
+        F.when(kind == "finish", F.col("reason")).alias("reason"),
+        F.when(kind == "finish", F.size("paths")).alias("assigned"),
+        ((kind == "published") & F.coalesce(F.col("output") == "page", F.lit(False))).alias("page"),
+        F.explode_outer(files).alias("file"),
     )
-    return per_path.groupBy(*keys).agg(
-        F.max("moved").alias("moved"),
-        F.max("ended").alias("ended"),
-        F.sum("sides").alias("sides"),
-        F.sum("events").alias("events"),
-        F.count("path").alias("files"),
+    return rows.select(
+        "job_id",
+        "seq",
+        (F.coalesce("file.ordinal", F.lit(0)) == 0).alias("head"),
+        "moved",
+        "ended",
+        "error",
+        "reason",
+        # size() of a null array is null or -1 by the session's settings.
+        F.when(F.col("assigned") >= 0, F.col("assigned").cast("bigint")).alias("assigned"),
+        "page",
+        F.coalesce("file.ordinal", F.lit(0)).alias("ordinal"),
+        F.col("file.path").alias("path"),
+        F.col("file.output").alias("output"),
     )
 
 
+def sides_complete(events: DataFrame) -> DataFrame:
+    """job_id, sides_complete: the last assignment of a job and the pages after it.
+
+    Both are taken per block of ``seq`` first.  A block of one job is at most
+    ORDER_BLOCK places wide, so the only rows that are joined, those of the block that
+    holds the last assignment, never make a hot key; all other blocks count as one number.
+    """
+    events = with_end_columns(events)
+    page = (F.col("kind") == "published") & (F.col("output") == "page")
+    told = F.when((F.col("kind") == "finish") & F.col("paths").isNotNull(), F.size("paths").cast("bigint"))
+    rows = events.select("job_id", "seq", F.floor(F.col("seq") / ORDER_BLOCK).alias("block"), told.alias("assigned"), page.alias("page"))
+    blocks = rows.groupBy("job_id", "block").agg(
+        F.count_if("page").alias("pages"),
+        F.max(F.when(F.col("assigned").isNotNull(), F.struct("seq", "assigned", F.col("block").alias("at")))).alias("last"),
+    )
+    lasts = blocks.groupBy("job_id").agg(F.max("last").alias("last"))
+    set_ = lasts.where("last is not null").select("job_id", F.col("last.at").alias("block"), F.col("last.seq").alias("from_seq"))
+    before = lasts.select("job_id", F.coalesce("last.assigned", F.lit(0)).alias("n"))
+    whole = blocks.select("job_id", "block", "pages").join(lasts, "job_id").where("last is null or block > last.at").select("job_id", F.col("pages").alias("n"))
+    inside = rows.where("page").join(set_, ["job_id", "block"]).where("seq > from_seq").groupBy("job_id", "block").agg(F.count("*").alias("n"))
+    return before.unionByName(whole).unionByName(inside.select("job_id", "n")).groupBy("job_id").agg(F.sum("n").alias("sides_complete"))
+
+
 def merge_reports(parts: DataFrame) -> DataFrame:
-    """Pieces of one job to its report."""
+    """Pieces of one job (moved, ended, files, events; the paths of two pieces differ) to its report."""
     merged = parts.groupBy("job_id").agg(
         F.max("moved").alias("moved"),
         F.max("ended").alias("ended"),
-        F.sum("sides").alias("sides_complete"),
         F.sum("files").alias("published_files"),
         F.sum("events").alias("events"),
     )
@@ -71,27 +125,38 @@ def merge_reports(parts: DataFrame) -> DataFrame:
         F.coalesce("moved.phase", F.lit("Preparing")).alias("phase"),
         F.col("ended.terminal").alias("terminal"),
         F.col("ended.error").alias("error"),
-        "sides_complete",
+        F.col("ended.reason").alias("end_reason"),
         "published_files",
         "events",
     )
 
 
+REPORT = ("job_id", "phase", "terminal", "error", "end_reason", "sides_complete", "published_files", "events")
+
+
 def job_report(events: DataFrame) -> DataFrame:
     """One report per job; every step is a combinable aggregate."""
-    return merge_reports(partial_report(events, "job_id"))
+    rows = file_rows(events)
+    # Paths first: one row per job and path, combined before the shuffle.
+    parts = rows.groupBy("job_id", "path").agg(
+        F.max(F.when(F.col("moved").isNotNull(), F.struct("seq", F.col("moved").alias("phase")))).alias("moved"),
+        F.max(F.when(F.col("ended").isNotNull(), F.struct("seq", F.col("ended").alias("terminal"), "error", "reason"))).alias("ended"),
+        F.count_if("head").alias("events"),
+        F.when(F.col("path").isNotNull(), 1).otherwise(0).alias("files"),
+    )
+    return merge_reports(parts).join(sides_complete(events), "job_id").select(*REPORT)
 
 
 def published_files(events: DataFrame) -> DataFrame:
-    """First publication of every path in order: job_id, position, path, output."""
+    """First publication of every path in order: job_id, position, seq, path, output."""
     first = (
-        events.where("kind = 'published'")
+        file_rows(events)
+        .where("output is not null or path is not null")
         .groupBy("job_id", "path")
-        .agg(F.min("seq").alias("seq"), F.min_by("output", "seq").alias("output"))
-    )
-    return prefix_scan(first, ["job_id"], "seq", ("path",), out="position").select(
-        "job_id", "position", "seq", "path", "output"
+        .agg(F.min(F.struct("seq", "ordinal", "output")).alias("first"))
+        .select("job_id", "path", F.col("first.seq").alias("seq"), F.col("first.ordinal").alias("ordinal"), F.col("first.output").alias("output"))
     )
+    return prefix_scan(first, ["job_id"], "seq", ("ordinal", "path"), out="position").select("job_id", "position", "seq", "path", "output")
 
 
 def job_progress(pages: DataFrame, totals: DataFrame) -> DataFrame:
@@ -114,3 +179,79 @@ def output_reconcile(requested: DataFrame, published: DataFrame) -> DataFrame:
     made = published.select("job_id", "path").distinct().withColumn("_made", F.lit(True))
     status = F.when(F.col("_made").isNull(), "missing").when(F.col("_asked").isNull(), "unexpected").otherwise("published")
     return asked.join(made, ["job_id", "path"], "full_outer").select("job_id", "path", status.alias("status"))
+
+
+def _extension(path: Column) -> Column:
+    """What follows the last dot of the last part of a path, lower-cased; null without one or where it begins the name."""
+    found = F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+    return F.when(found != "", found)
+
+
+def _named(path: Column, extension: str) -> Column:
+    """The path itself, or with an extension where it has none."""
+    return F.when(_extension(path).isNull(), F.concat(path, F.lit("." + extension))).otherwise(path)
+
+
+#: Container formats of the three places a multipage document can be asked for in.
+CONTAINERS = {"multipage_out": ["pdf", "tif", "tiff"], "multipage_tiff": ["tif", "tiff"], "multipage_pdf": ["pdf"]}
+IMAGES = ["bmp", "gif", "jpeg", "jpg", "jxl", "pdf", "png", "tif", "tiff", "webp"]
+
+
+def requested_outputs(requests: DataFrame) -> DataFrame:
+    """job_id, kind, path, place, error: every file that a job request asks for.
+
+    ``requests``: job_id, out (single scan) or out_dir, pages and format (batch),
+    raw_out, multipage_out, multipage_tiff, multipage_pdf, contact_sheet.  ``kind``
+    is image | raw | page | document | contact_sheet.  A document without extension becomes
+    a tif, a contact sheet a bmp; ``error`` names a destination whose extension is
+    missing or not allowed there.  Null columns ask for nothing; pages are bounded by a batch's limit.
+    """
+    out, single = F.col("out"), F.col("out").isNotNull()
+    batch = F.col("out_dir").isNotNull()
+    digits = F.greatest(F.lit(3), F.length(F.col("pages").cast("string")))
+    extension = F.regexp_replace("format", r"^\.+", "")
+
+    def asked(place: str, kind: Column | str, path: Column, allowed: list[str], there: Column) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        bad = _extension(path)
+        error = F.when(bad.isNull(), F.lit("no extension")).when(~bad.isin(allowed), F.concat(F.lit("extension not allowed: "), bad))
+        return F.when(there, F.struct(kind.alias("kind"), path.alias("path"), F.lit(place).alias("place"), error.alias("error")))
+
+    def page(n: Column) -> Column:
+        name = F.concat(F.lit("page_"), F.lpad(n.cast("string"), digits, F.lit("0")), F.lit("."), extension)
+        return F.struct(F.lit("page").alias("kind"), F.concat_ws("/", F.regexp_replace("out_dir", "/+$", ""), name).alias("path"), F.lit("page").alias("place"), F.lit(None).cast("string").alias("error"))
+
+    named = [
+        asked("out", F.when(_extension(out) == "pdf", "document").otherwise("image"), out, IMAGES, single),
+        asked("raw_out", "raw", F.col("raw_out"), IMAGES, F.col("raw_out").isNotNull()),
+        *(
+            asked(place, "document", _named(F.col(place), "tif") if place == "multipage_out" else F.col(place), allowed, batch & F.col(place).isNotNull())
+            for place, allowed in CONTAINERS.items()
+        ),
+        asked("contact_sheet", "contact_sheet", _named(F.col("contact_sheet"), "bmp"), IMAGES, batch & F.col("contact_sheet").isNotNull()),
+    ]
+    pages = F.when(batch & (F.col("pages") > 0), F.transform(F.sequence(F.lit(1), F.greatest(F.col("pages").cast("int"), F.lit(1))), page))
+    rows = F.concat(F.array_compact(F.array(*named)), F.coalesce(pages, F.array().cast("array<struct<kind:string,path:string,place:string,error:string>>")))
+    return requests.select("job_id", F.explode(rows).alias("o")).select("job_id", "o.kind", "o.path", "o.place", "o.error")
+
+
+def destination_problems(requests: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """job_id, path, places, problem: destinations that a batch must refuse before it starts.
+
+    A bad extension, two destinations of a job that resolve to one path, and, with
+    ``present`` (path) and without a true ``overwrite`` in the request, a file that exists.
+    One row per path and problem, however many claim it.
+    """
+    from .manifest import normal_path
+
+    asked = requested_outputs(requests).withColumn("target", normal_path(F.col("path")))
+    refused = asked.where("error is not null").select("job_id", F.col("target").alias("path"), F.col("place").alias("places"), F.col("error").alias("problem"))
+    shared = asked.groupBy("job_id", "target").agg(F.count("*").alias("claims"), F.array_sort(F.collect_set("place")).alias("places"))
+    shared = shared.where("claims > 1").select("job_id", F.col("target").alias("path"), F.array_join("places", ",").alias("places"), F.lit("claimed more than once").alias("problem"))
+    out = refused.unionByName(shared)
+    if present is None:
+        return out
+    overwrite = F.coalesce("overwrite", F.lit(False)) if "overwrite" in requests.columns else F.lit(False)
+    kept = asked.join(requests.where(~overwrite).select("job_id").distinct(), "job_id", "left_semi")
+    there = kept.join(present.select(normal_path(F.col("path")).alias("target")).distinct(), "target", "left_semi")
+    return out.unionByName(there.groupBy("job_id", "target").agg(F.array_join(F.array_sort(F.collect_set("place")), ",").alias("places")).select("job_id", F.col("target").alias("path"), "places", F.lit("exists").alias("problem")))

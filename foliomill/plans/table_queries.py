@@ -784,33 +784,107 @@ _add(
 _EVENT = {
     "job_id": "user_id",
     "seq": "event_id",
-    "kind": "CASE WHEN event_type = 'error' THEN CASE event_id % 9 WHEN 0 THEN 'fail' WHEN 1 THEN 'cancel' WHEN 2 THEN 'finish' WHEN 3 THEN 'publishing' ELSE 'progress' END WHEN event_type IN ('purchase', 'click') THEN 'published' ELSE 'progress' END",
+    "kind": "CASE WHEN event_type = 'error' THEN CASE event_id % 9 WHEN 0 THEN 'fail' WHEN 1 THEN 'cancel' WHEN 2 THEN 'finish' WHEN 3 THEN 'publishing' WHEN 4 THEN 'finish' ELSE 'progress' END WHEN event_type = 'click' AND event_id % 11 = 0 THEN 'raw' WHEN event_type IN ('purchase', 'click') THEN 'published' ELSE 'progress' END",
     "phase": "CASE event_id % 7 WHEN 0 THEN 'open' WHEN 1 THEN 'acquire' WHEN 2 THEN 'pipeline' WHEN 3 THEN 'save' WHEN 4 THEN 'idle' WHEN 5 THEN 'done' ELSE 'batch' END",
     "path": "concat('out/', CAST(floor(value) AS BIGINT))",
-    "output": "CASE WHEN event_type = 'purchase' THEN 'page' ELSE 'document' END",
+    "output": "CASE WHEN event_type = 'purchase' THEN 'page' WHEN event_type = 'click' THEN 'document' WHEN event_id % 5 = 0 THEN 'image' END",
     "error": "CASE WHEN event_type = 'error' AND event_id % 9 = 0 THEN concat('E', event_id) END",
+    "paths": "split(CASE event_id % 4 WHEN 1 THEN 'out/5' WHEN 2 THEN concat('out/', event_id % 50, ',out/', event_id % 70, ',out/3') WHEN 3 THEN 'out/9,new/9' END, ',')",
+    "reason": "CASE event_id % 2 WHEN 0 THEN 'limit_reached' ELSE 'feeder_exhausted' END",
 }
 _EV = "ev AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _EVENT.items()) + " FROM events)"
+_FILES = """files AS (
+  SELECT job_id, seq, 0 AS ordinal, path, CASE kind WHEN 'raw' THEN 'raw' ELSE output END AS output FROM ev WHERE kind IN ('published', 'raw')
+  UNION ALL SELECT job_id, seq, i - 1, paths[i], coalesce(output, 'page') FROM (SELECT *, unnest(generate_series(1, len(paths))) AS i FROM ev WHERE kind = 'finish' AND paths IS NOT NULL))"""
 
 
 def event_rows(df):
     return df.selectExpr(*[f"{v} AS {k}" for k, v in _EVENT.items()])
 
 
-REPORT_SQL = f"""WITH {_EV},
+REPORT_SQL = f"""WITH {_EV}, {_FILES},
 m AS (SELECT *, CASE WHEN kind = 'progress' THEN CASE WHEN phase IN ('open', 'acquire', 'batch') THEN 'Acquiring' WHEN phase = 'pipeline' THEN 'Processing' WHEN phase IN ('save', 'done') THEN 'Publishing' END
    WHEN kind = 'publishing' THEN 'Publishing' WHEN kind IN ('finish', 'cancel', 'fail') THEN 'Finished' END AS moved,
    CASE kind WHEN 'finish' THEN 'Completed' WHEN 'cancel' THEN 'Cancelled' WHEN 'fail' THEN 'Failed' END AS ended FROM ev),
-t AS (SELECT job_id, ended AS terminal, error FROM m WHERE ended IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1),
+t AS (SELECT job_id, ended AS terminal, CASE kind WHEN 'fail' THEN error END AS error, CASE kind WHEN 'finish' THEN reason END AS end_reason FROM m WHERE ended IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1),
 p AS (SELECT job_id, moved AS phase FROM m WHERE moved IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1),
-c AS (SELECT job_id, count(*) FILTER (WHERE kind = 'published' AND output = 'page') AS sides_complete, count(DISTINCT path) FILTER (WHERE kind = 'published') AS published_files, count(*) AS events FROM m GROUP BY 1)
-SELECT c.job_id, coalesce(p.phase, 'Preparing') AS phase, t.terminal, t.error, sides_complete, published_files, events FROM c LEFT JOIN p USING (job_id) LEFT JOIN t USING (job_id)"""
+a AS (SELECT job_id, seq, len(paths) AS n FROM ev WHERE kind = 'finish' AND paths IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1),
+s AS (SELECT ev.job_id, coalesce(any_value(a.n), 0) + count(*) FILTER (WHERE kind = 'published' AND output = 'page' AND (a.seq IS NULL OR ev.seq > a.seq)) AS sides_complete, count(*) AS events FROM ev LEFT JOIN a ON ev.job_id = a.job_id GROUP BY 1),
+f AS (SELECT job_id, count(DISTINCT path) AS published_files FROM files GROUP BY 1)
+SELECT s.job_id, coalesce(p.phase, 'Preparing') AS phase, t.terminal, t.error, t.end_reason, sides_complete, coalesce(published_files, 0) AS published_files, events
+FROM s LEFT JOIN p USING (job_id) LEFT JOIN t USING (job_id) LEFT JOIN f USING (job_id)"""
 _add("job_report", lambda spark, sf: jobs.job_report(event_rows(table(spark, sf, "events"))), REPORT_SQL)
 _add(
     "published_files",
     lambda spark, sf: jobs.published_files(event_rows(table(spark, sf, "events"))),
-    f"""WITH {_EV}, f AS (SELECT job_id, path, min(seq) AS seq, arg_min(output, seq) AS output FROM ev WHERE kind = 'published' GROUP BY 1, 2)
-SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq, path) AS position, seq, path, output FROM f""",
+    f"""WITH {_EV}, {_FILES}, f AS (SELECT job_id, path, min(struct_pack(s := seq, o := ordinal, k := output)) AS x FROM files GROUP BY 1, 2)
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY x.s, x.o, path) AS position, x.s AS seq, path, x.k AS output FROM f""",
+)
+
+# Job requests from orders: formats and destinations with and without extension, some shared.
+_REQUEST = {
+    "job_id": "o_orderkey",
+    "out": "CASE WHEN o_orderkey % 5 = 0 THEN concat('scan/', o_custkey, CASE o_orderkey % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' WHEN 2 THEN '.doc' ELSE '' END) END",
+    "raw_out": "CASE WHEN o_orderkey % 15 = 0 THEN concat('scan/', o_custkey, '.png') END",
+    "out_dir": "CASE WHEN o_orderkey % 5 <> 0 THEN concat('batch/', o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE '' END) END",
+    "pages": "CAST(o_orderkey % 23 AS INT)",
+    "format": "CASE o_orderkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN '.tif' ELSE 'jpg' END",
+    "multipage_out": "CASE o_orderkey % 6 WHEN 0 THEN concat('batch/', o_custkey, '/all') WHEN 1 THEN 'all.tiff' WHEN 2 THEN 'all.jpg' END",
+    "multipage_tiff": "CASE o_orderkey % 7 WHEN 1 THEN 'all.tiff' WHEN 2 THEN './x/../all.tiff' WHEN 3 THEN 'all.pdf' WHEN 4 THEN 'a.b/all' END",
+    "multipage_pdf": "CASE o_orderkey % 8 WHEN 3 THEN 'all.pdf' WHEN 4 THEN '.pdf' END",
+    "contact_sheet": "CASE o_orderkey % 9 WHEN 1 THEN 'sheet' WHEN 2 THEN concat('batch/', o_custkey, '/page_001.png') WHEN 3 THEN 'sheet.txt' END",
+    "overwrite": "o_orderkey % 2 = 0",
+}
+_RQ = "rq AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _REQUEST.items()) + " FROM orders)"
+_SUFFIX = r"nullif(lower(regexp_extract({0}, '[^/]\.([^./]*)$', 1)), '')"
+_IMAGES = ", ".join(f"'{x}'" for x in jobs.IMAGES)
+
+
+def _asked(place: str, kind: str, path: str, allowed: str, where: str) -> str:
+    ext = _SUFFIX.format("p")
+    return f"""SELECT job_id, {kind} AS kind, p AS path, '{place}' AS place, CASE WHEN {ext} IS NULL THEN 'no extension' WHEN {ext} NOT IN ({allowed}) THEN concat('extension not allowed: ', {ext}) END AS error
+  FROM (SELECT *, {path} AS p FROM rq WHERE {where})"""
+
+
+def _or(place: str, extension: str) -> str:
+    return f"CASE WHEN {_SUFFIX.format(place)} IS NULL THEN {place} || '.{extension}' ELSE {place} END"
+
+
+_ASKED = " UNION ALL ".join(
+    [
+        _asked("out", "CASE WHEN " + _SUFFIX.format("p") + " = 'pdf' THEN 'document' ELSE 'image' END", "out", _IMAGES, "out IS NOT NULL"),
+        _asked("raw_out", "'raw'", "raw_out", _IMAGES, "raw_out IS NOT NULL"),
+        _asked("multipage_out", "'document'", _or("multipage_out", "tif"), "'pdf', 'tif', 'tiff'", "out_dir IS NOT NULL AND multipage_out IS NOT NULL"),
+        _asked("multipage_tiff", "'document'", "multipage_tiff", "'tif', 'tiff'", "out_dir IS NOT NULL AND multipage_tiff IS NOT NULL"),
+        _asked("multipage_pdf", "'document'", "multipage_pdf", "'pdf'", "out_dir IS NOT NULL AND multipage_pdf IS NOT NULL"),
+        _asked("contact_sheet", "'contact_sheet'", _or("contact_sheet", "bmp"), _IMAGES, "out_dir IS NOT NULL AND contact_sheet IS NOT NULL"),
+        """SELECT job_id, 'page', concat(rtrim(out_dir, '/'), '/page_', lpad(CAST(n AS VARCHAR), CAST(greatest(3, len(CAST(pages AS VARCHAR))) AS INTEGER), '0'), '.', ltrim(format, '.')), 'page', NULL
+  FROM (SELECT *, unnest(range(1, pages + 1)) AS n FROM rq WHERE out_dir IS NOT NULL)""",
+    ]
+)
+_add("requested_outputs", lambda spark, sf: jobs.requested_outputs(request_rows(table(spark, sf, "orders"))), f"WITH {_RQ} {_ASKED}")
+
+
+def request_rows(df):
+    return df.selectExpr(*[f"{v} AS {k}" for k, v in _REQUEST.items()])
+
+
+def _problems(spark, sf):
+    requests = request_rows(table(spark, sf, "orders"))
+    present = table(spark, sf, "customer").selectExpr("concat('batch//', c_custkey, '/./page_002.tif') AS path")
+    return jobs.destination_problems(requests, present)
+
+
+# The fixture's paths have no dot parts but the one written out here.
+_add(
+    "destination_problems",
+    _problems,
+    f"""WITH {_RQ}, asked AS ({_ASKED}), t AS (SELECT job_id, replace(path, './x/../', '') AS path, place, error FROM asked),
+shared AS (SELECT job_id, path, array_to_string(list_sort(list_distinct(list(place))), ',') AS places FROM t GROUP BY 1, 2 HAVING count(*) > 1),
+there AS (SELECT DISTINCT t.job_id, t.path, place FROM t JOIN rq ON rq.job_id = t.job_id AND NOT overwrite JOIN (SELECT DISTINCT concat('batch/', c_custkey, '/page_002.tif') AS path FROM customer) c ON c.path = t.path)
+SELECT job_id, path, place AS places, error AS problem FROM t WHERE error IS NOT NULL
+UNION ALL SELECT job_id, path, places, 'claimed more than once' FROM shared
+UNION ALL SELECT job_id, path, array_to_string(list_sort(list_distinct(list(place))), ','), 'exists' FROM there GROUP BY 1, 2""",
 )
 _add(
     "job_progress",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import struct
 import zlib
 
@@ -87,21 +88,139 @@ def test_admission_splits(spark):
     assert {r["page_id"]: r["reason"] for r in bad.collect()} == {2: "packed length mismatch", 3: "width and height must be positive", 4: "axis exceeds 65535 pixels"}
 
 
-def test_job_stream_equals_batch_over_triggers(spark, sf_dir, tmp_path):
-    rows = event_rows(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    feed = str(tmp_path / "feed")
+@pytest.fixture
+def stream_state(spark):
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs_stream.STATE_PROVIDER)
-    try:
-        for part in range(3):
-            # Triggers overlap in order: seq alone decides the last phase.
-            rows.where(F.col("seq") % 3 == part).coalesce(1).write.mode("append").parquet(feed)
-            stream = spark.readStream.schema(rows.schema).parquet(feed)
-            jobs_stream.write_report_pieces(stream, str(tmp_path / "pieces"), str(tmp_path / "cp")).awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
-    got = sorted(map(tuple, jobs_stream.read_reports(spark, str(tmp_path / "pieces")).collect()))
-    assert got == sorted(map(tuple, jobs.job_report(rows).collect()))
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+
+
+@pytest.mark.parametrize("split", ["seq % 3", "pmod(xxhash64(seq), 4)", "-floor(seq / 700)"])
+def test_job_stream_equals_batch_over_triggers(spark, sf_dir, tmp_path, stream_state, split):
+    """Triggers overlap in order or come backwards: seq alone decides; pieces are compacted on the way."""
+    rows = event_rows(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    feed = str(tmp_path / "feed")
+    parts = sorted(r[0] for r in rows.selectExpr(f"CAST({split} AS int)").distinct().collect())
+    assert len(parts) > 1
+    for part in parts:
+        rows.where(F.expr(split) == part).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(rows.schema).parquet(feed)
+        jobs_stream.write_report_pieces(stream, str(tmp_path / "pieces"), str(tmp_path / "cp"), every=2).awaitTermination()
+    got = sorted(map(tuple, jobs_stream.read_reports(spark, str(tmp_path / "pieces")).collect()), key=str)
+    assert got == sorted(map(tuple, jobs.job_report(rows).collect()), key=str)
+    folders = {x.name for x in (tmp_path / "pieces").iterdir() if x.is_dir()}
+    assert len([x for x in folders if x.startswith("base=")]) <= 1 and len(folders) <= 2
+
+
+EVENTS = "job_id bigint, seq bigint, kind string, phase string, path string, output string, error string, paths array<string>, reason string"
+
+
+def plain_report(rows):
+    """Events applied one after the other in the order of seq."""
+    out = {}
+    for job, _, kind, phase, path, output, error, paths, reason in sorted(rows, key=lambda r: (r[0], r[1])):
+        r = out.setdefault(job, {"phase": "Preparing", "end": (None, None, None), "sides": 0, "files": {}, "events": 0})
+        r["events"] += 1
+        if kind == "progress":
+            r["phase"] = jobs.PHASES.get(phase, r["phase"])
+        if kind == "publishing":
+            r["phase"] = "Publishing"
+        if kind in ("published", "raw"):
+            r["sides"] += kind == "published" and output == "page"
+            if path is not None:
+                r["files"].setdefault(path, "raw" if kind == "raw" else output)
+        if kind == "finish" and paths is not None:
+            for p in paths:
+                r["files"].setdefault(p, output or "page")
+            r["sides"] = len(paths)
+        if kind in jobs.TERMINALS:
+            r["phase"], r["end"] = "Finished", (jobs.TERMINALS[kind], error if kind == "fail" else None, reason if kind == "finish" else None)
+    return out
+
+
+def random_events(seed, n=400, jobs_=6):
+    pick = random.Random(seed)
+    kinds = ["progress", "published", "published", "published", "raw", "publishing", "finish", "cancel", "fail"]
+    rows = []
+    for seq in pick.sample(range(10 * n), n):
+        kind = pick.choice(kinds)
+        paths = pick.choice([None, [], ["a"], ["b", "c", "b"], ["a", "x", "z"]])
+        rows.append((0 if pick.random() < 0.4 else pick.randrange(jobs_), seq, kind, pick.choice([*jobs.PHASES, "idle", None]), pick.choice(["a", "b", "d", None, str(seq)]),
+                     pick.choice(["page", "document", None]), "e", paths, pick.choice(["limit_reached", "feeder_exhausted", None])))
+    return rows
+
+
+@pytest.mark.parametrize("block", [4096, 64])
+def test_end_rules(spark, monkeypatch, block):
+    """Finish adds its files and sets the sides, raw files are no sides, the end's reason stays."""
+    monkeypatch.setattr(jobs, "ORDER_BLOCK", block)
+    rows = random_events(5) + [(99, 1, "progress", "idle", None, None, None, None, None)]
+    events = spark.createDataFrame(rows, EVENTS).repartition(4)
+    want = plain_report(rows)
+    got = {r.job_id: r for r in jobs.job_report(events).collect()}
+    assert set(got) == set(want)
+    for job, w in want.items():
+        r = got[job]
+        assert (r.phase, (r.terminal, r.error, r.end_reason), r.sides_complete, r.published_files, r.events) == (w["phase"], w["end"], w["sides"], len(w["files"]), w["events"]), job
+    files = {(r.job_id, r.path): r.output for r in jobs.published_files(events).where("path is not null").collect()}
+    assert files == {(j, p): k for j, w in want.items() for p, k in w["files"].items()}
+
+
+def test_end_rules_on_the_stream(spark, tmp_path, stream_state):
+    """A finish that comes late or early sets the sides in every bucket."""
+    rows = random_events(8)
+    feed = str(tmp_path / "feed")
+    for part in range(4):
+        spark.createDataFrame(rows[part::4], EVENTS).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(EVENTS).parquet(feed)
+        jobs_stream.write_report_pieces(stream, str(tmp_path / "pieces"), str(tmp_path / "cp"), ttl_ms=None).awaitTermination()
+    got = sorted(map(tuple, jobs_stream.read_reports(spark, str(tmp_path / "pieces")).collect()), key=str)
+    assert got == sorted(map(tuple, jobs.job_report(spark.createDataFrame(rows, EVENTS)).collect()), key=str)
+    kept = {r.job_id: r.sides_complete for r in jobs_stream.read_reports(spark, str(tmp_path / "pieces")).collect()}
+    assert kept == {j: w["sides"] for j, w in plain_report(rows).items()}
+
+
+REQUEST = "job_id int, out string, raw_out string, out_dir string, pages int, format string, multipage_out string, multipage_tiff string, multipage_pdf string, contact_sheet string, overwrite boolean"
+
+
+def test_requested_outputs_and_destinations(spark):
+    requests = spark.createDataFrame(
+        [
+            (1, "a/x.PDF", "a/x.png", None, None, None, None, None, None, None, None),
+            (2, None, None, "b/", 2, ".png", "b/all", None, None, "b/sheet", False),
+            (3, None, None, "b", 1, "jpg", "b/all.jpg", "b/page_001.jpg", "b/.pdf", "./b/page_001.jpg", True),
+            (4, "noext", None, None, None, None, None, None, None, None, None),
+            (5, None, None, None, 3, "png", "all", None, None, None, None),
+            (6, None, None, "c", 0, "png", None, None, None, None, None),
+        ],
+        REQUEST,
+    )
+    got = {(r.job_id, r.kind, r.path): r.error for r in jobs.requested_outputs(requests).collect()}
+    assert got == {
+        (1, "document", "a/x.PDF"): None,
+        (1, "raw", "a/x.png"): None,
+        (2, "page", "b/page_001.png"): None,
+        (2, "page", "b/page_002.png"): None,
+        (2, "document", "b/all.tif"): None,
+        (2, "contact_sheet", "b/sheet.bmp"): None,
+        (3, "page", "b/page_001.jpg"): None,
+        (3, "document", "b/all.jpg"): "extension not allowed: jpg",
+        (3, "document", "b/page_001.jpg"): "extension not allowed: jpg",
+        (3, "document", "b/.pdf"): "no extension",
+        (3, "contact_sheet", "./b/page_001.jpg"): None,
+        (4, "image", "noext"): "no extension",
+    }
+    present = spark.createDataFrame([("b//page_002.png",), ("b/page_001.jpg",)], "path string")
+    problems = {(r.job_id, r.path, r.places, r.problem) for r in jobs.destination_problems(requests, present).collect()}
+    assert problems == {
+        (2, "b/page_002.png", "page", "exists"),
+        (3, "b/all.jpg", "multipage_out", "extension not allowed: jpg"),
+        (3, "b/page_001.jpg", "multipage_tiff", "extension not allowed: jpg"),
+        (3, "b/.pdf", "multipage_pdf", "no extension"),
+        (3, "b/page_001.jpg", "contact_sheet,multipage_tiff,page", "claimed more than once"),
+        (4, "noext", "out", "no extension"),
+    }
 
 
 def test_repeated_page_event_counts_a_side_but_not_a_file(spark):
