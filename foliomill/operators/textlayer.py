@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import NO_TEXT, glyph_bits
 from ..functions.columns import indices, int_div, let, to_int
@@ -14,6 +19,8 @@ INK_LIMIT = 128
 MAX_PAGE_TEXT = 1024 * 1024
 MAX_DOCUMENT_TEXT = 16 * 1024 * 1024
 MAX_CODES = 65_535
+#: Bands whose seams are united in one group.
+SEAM_BANDS = 64
 
 
 # --- connected ink components ---------------------------------------------
@@ -38,54 +45,53 @@ def ink_runs(strips: DataFrame, limit: int = INK_LIMIT) -> DataFrame:
     )
 
 
-def band_labels(runs: DataFrame, band_rows: int = PAGE_BAND) -> DataFrame:
-    """page_id, width, height, y, x0, x1, node, local: smallest node id that a
-    run reaches inside its own band of lines.
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0 .. n - 1 joined by the edges a - b, the least node each one reaches.
 
-    Joining runs is not expressible as a fixed plan, so each (page, band) group,
-    bounded by the band height, goes through one small Arrow-batched union.
+    Every round hangs the larger root of each open edge on the smaller one, then
+    points all nodes at their roots by doubling; the open edges at least halve the roots they touch.
     """
-    import numpy as np
-    import pandas as pd
-
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
-        ys, starts, stops = pdf["y"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy()
-        root = list(range(len(pdf)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        first = np.searchsorted(ys, ys - 1, side="left")
-        last = np.searchsorted(ys, ys - 1, side="right")
-        for i in range(len(pdf)):
-            lo, hi = first[i], last[i]
-            if lo == hi:
-                continue
-            # Runs of a line are disjoint and sorted: the overlapping ones are consecutive.
-            lo += np.searchsorted(stops[lo:hi], starts[i], side="right")
-            while lo < hi and starts[lo] < stops[i]:
-                a, b = find(lo), find(i)
-                root[max(a, b)] = min(a, b)
-                lo += 1
-        node = pdf["node"].to_numpy()
-        pdf["local"] = node[[find(i) for i in range(len(pdf))]]
-        return pdf.drop(columns="band")
+    root = np.arange(n)
+    while len(a):
+        left, right = root[a], root[b]
+        open_ = left != right
+        a, b, left, right = a[open_], b[open_], left[open_], right[open_]
+        np.minimum.at(root, np.maximum(left, right), np.minimum(left, right))
+        while (after := root[root]).tobytes() != root.tobytes():
+            root = after
+    return root
+
+
+def _band(table: pa.Table) -> pa.Table:
+    """Label the runs of one band with the least node each one reaches inside it."""
+    y, x0, x1, node = (table[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1", "node"))
+    order = np.lexsort((x0, y))
+    y, x0, x1, node = y[order], x0[order], x1[order], node[order]
+    # Runs of a line are disjoint and sorted, so those of the line above that overlap a run are consecutive.
+    line = int(x1.max()) + 1
+    first = np.searchsorted(y * line + x1, (y - 1) * line + x0, side="right")
+    many = np.maximum(np.searchsorted(y * line + x0, (y - 1) * line + x1) - first, 0)
+    below = np.repeat(np.arange(len(y)), many)
+    above = first[below] + np.arange(len(below)) - np.repeat(np.cumsum(many) - many, many)
+    label = node[least_labels(above, below, len(y))]
+    keep = table.take(pa.array(order)).drop_columns(["band"])
+    return keep.append_column("local", pa.array(label))
 
+
+def band_labels(runs: DataFrame, band_rows: int = PAGE_BAND) -> DataFrame:
+    """page_id, width, height, y, x0, x1, node, local: smallest node id that a
+    run reaches inside its own band of lines (a group bounded by the band height)."""
     keyed = runs.select(
         "*",
         (F.col("y").cast("bigint") * F.col("width") + F.col("x0")).alias("node"),
         to_int(int_div(F.col("y"), band_rows)).alias("band"),
     )
     schema = "page_id bigint, width int, height int, y int, x0 int, x1 int, node bigint, local bigint"
-    return keyed.groupBy("page_id", "band").applyInPandas(unite, schema)
+    return keyed.groupBy("page_id", "band").applyInArrow(_band, schema)
 
 
 def seam_edges(labelled: DataFrame, band_rows: int = PAGE_BAND) -> DataFrame:
-    """Pairs of band-local components that touch across a band boundary.
+    """page_id, seam, a, b: band-local components that touch across the upper end of band ``seam``.
 
     Only the last line of a band and the first of the next take part.  Runs of
     one line are disjoint, so a run meets few others.
@@ -94,49 +100,50 @@ def seam_edges(labelled: DataFrame, band_rows: int = PAGE_BAND) -> DataFrame:
         "page_id", (F.col("y") + 1).alias("y"), F.col("local").alias("a"), F.col("x0").alias("u0"), F.col("x1").alias("u1")
     )
     lower = labelled.where(F.col("y") % band_rows == 0).select("page_id", "y", F.col("local").alias("b"), "x0", "x1")
-    return upper.join(lower, ["page_id", "y"]).where("u0 < x1 AND x0 < u1").select("page_id", "a", "b").distinct()
+    met = upper.join(lower, ["page_id", "y"]).where("u0 < x1 AND x0 < u1")
+    return met.select("page_id", to_int(int_div(F.col("y"), band_rows)).alias("seam"), "a", "b").distinct()
+
 
+def _united(table: pa.Table) -> pa.Table:
+    """page_id, u, label of the ends of the edges (a, b) of one group."""
+    a, b = table["a"].to_numpy(), table["b"].to_numpy()
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = nodes[least_labels(at[: len(a)], at[len(a) :], len(nodes))]
+    page = np.full(len(nodes), table["page_id"][0].as_py())
+    return pa.table({"page_id": page, "u": nodes, "label": label})
 
-def merge_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """page_id, u, label: smallest node of each component of the edge list.
 
-    Alternating star contraction: each round points every node's neighbours at
-    the smallest of them, which halves long chains.  A round is a few shuffles;
-    its result is checkpointed, so a lost executor never replays the loop.
+def merge_labels(edges: DataFrame, bands: int = SEAM_BANDS) -> DataFrame:
+    """page_id, u, label: smallest node of each component of the seam edges.
+
+    Two levels, whatever the shape of the ink: the seams inside each block of ``bands`` bands are
+    united in one group, then the seams between the blocks of a page, whose
+    ends carry the labels of the first level.  With 64 bands of 64 lines a page of 65,535 lines has at
+    most 63 seams in a group of the first level and 15 in its one group of the second.
     """
-    now = cut_lineage(edges.select("page_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        both = now.select("page_id", "u", "v").unionByName(now.select("page_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("page_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(low, ["page_id", "u"]).select("page_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = large.groupBy("page_id", "u").agg(F.min("v").alias("m"))
-        pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        small = (
-            large.join(low, ["page_id", "u"])
-            .select("page_id", F.explode(pair).alias("e"))
-            .select("page_id", "e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        now = cut_lineage(small)
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("page_id", "u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return now.groupBy("page_id", "u").agg(F.min("v").alias("label"))
-        before = mark
-    raise RuntimeError("component labels did not settle")
+    schema = "page_id bigint, u bigint, label bigint"
+    inside = edges.where(F.col("seam") % bands != 0).withColumn("block", to_int(int_div(F.col("seam"), bands)))
+    first = inside.select("page_id", "block", "a", "b").groupBy("page_id", "block").applyInArrow(_united, schema)
+    between = edges.where(F.col("seam") % bands == 0).select("page_id", "a", "b")
+    for end in ("a", "b"):
+        told = first.select("page_id", F.col("u").alias(end), F.col("label").alias("_label"))
+        between = between.join(told, ["page_id", end], "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+    second = between.select("page_id", "a", "b").groupBy("page_id").applyInArrow(_united, schema)
+    second = second.select("page_id", F.col("u").alias("label"), F.col("label").alias("least"))
+    # A label of the first level that no seam between blocks holds stays; one that only the second level knows stands for itself.
+    moved = first.join(second, ["page_id", "label"], "left").select("page_id", "u", F.coalesce("least", "label").alias("label"))
+    alone = second.join(first.select("page_id", F.col("u").alias("label")), ["page_id", "label"], "left_anti")
+    return moved.unionByName(alone.select("page_id", F.col("label").alias("u"), F.col("least").alias("label")))
 
 
 def ink_components(strips: DataFrame, limit: int = INK_LIMIT, band_rows: int = PAGE_BAND) -> DataFrame:
     """Glyph-sized boxes of 4-connected ink: page_id, x0, y0, x1, y1.
 
     Runs are united inside bands first; only the few components that touch a
-    band boundary enter the iterative merge.
+    band boundary go on to the blocks of bands and to the page.
     """
     labelled = cut_lineage(band_labels(ink_runs(strips, limit), band_rows))
-    merged = merge_labels(seam_edges(labelled, band_rows))
+    merged = merge_labels(cut_lineage(seam_edges(labelled, band_rows)))
     parts = labelled.groupBy("page_id", "local", "width", "height").agg(
         F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1")
     )
@@ -222,44 +229,27 @@ def reading_lines(boxes: DataFrame) -> DataFrame:
     """Attach ``line`` (0, 1, ... top down) to every box.
 
     Boxes are taken by (y0, x0); a box joins the last line when its middle lies
-    in the line's growing span.  That fold is sequential, but it always restarts
-    where a box begins below everything before it, so a page is first cut into
-    such islands and only an island is folded as one array.
+    in the line's growing span.  A line begins with its topmost box, so only its lower
+    end grows: the sweep carries a page, a line number and that end from row to row
+    and batch to batch, and holds no more of a page than one batch.
     """
-    ids = boxes.withColumn("_order", F.col("y0").cast("bigint") * 65536 + F.col("x0"))
-    ran = prefix_scan(
-        ids, ["page_id"], "_order", ("y1", "x1"), F.col("y1").cast("bigint"), "_reach", func="max", block=64 * 65536, inclusive=False
-    )
-    begins = F.col("_reach").isNull() | (F.col("y0") >= F.col("_reach"))
-    numbered = prefix_scan(
-        ran.withColumn("_begin", begins.cast("bigint")), ["page_id"], "_order", ("y1", "x1"), F.col("_begin"), "island", block=64 * 65536
-    )
-    box = F.struct("_order", "y1", "x1", "y0", "x0", *[c for c in boxes.columns if c not in ("page_id", "x0", "y0", "x1", "y1")])
-    islands = numbered.groupBy("page_id", "island").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-
-    # Fold over indices with one growing list of lines: (top, bottom, first).
-    def step(state: Column, b: Column) -> Column:
-        middle = to_int(int_div(b["y0"] + b["y1"], 2))
-        joins = (F.size(state["line"]) > 0) & (middle >= state["top"]) & (middle < state["bottom"])
-        last = F.coalesce(F.get(state["line"], F.size(state["line"]) - 1), F.lit(-1))
-        return F.struct(
-            F.when(joins, F.least(state["top"], b["y0"])).otherwise(b["y0"]).alias("top"),
-            F.when(joins, F.greatest(state["bottom"], b["y1"])).otherwise(b["y1"]).alias("bottom"),
-            F.concat(state["line"], F.array(F.when(joins, last).otherwise(last + 1))).alias("line"),
-        )
-
-    start = F.struct(F.lit(0).alias("top"), F.lit(0).alias("bottom"), F.array().cast("array<int>").alias("line"))
-    folded = islands.withColumn("_line", F.aggregate("boxes", start, step, lambda s: s["line"]))
-    counts = folded.select("page_id", "island", (F.element_at("_line", -1) + 1).cast("bigint").alias("n"))
-    bases = prefix_scan(counts, ["page_id"], "island", (), F.col("n"), "_base", inclusive=False).select("page_id", "island", "_base")
-    placed = folded.join(bases, ["page_id", "island"]).select(
-        "page_id", "_base", F.explode(F.arrays_zip(F.col("boxes"), F.col("_line").alias("l"))).alias("z")
-    )
-    return placed.select(
-        "page_id",
-        *[F.col(f"z.boxes.{c}").alias(c) for c in boxes.columns if c != "page_id"],
-        (F.col("_base") + F.col("z.l")).cast("int").alias("line"),
-    )
+    schema = StructType([*boxes.schema.fields, StructField("line", IntegerType())])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page = bottom = line = None
+        for batch in batches:
+            out = []
+            for at, top, end in zip(*(batch[c].to_pylist() for c in ("page_id", "y0", "y1")), strict=True):
+                if line is None or at != page:
+                    page, bottom, line = at, end, 0
+                elif (top + end) // 2 < bottom:
+                    bottom = max(bottom, end)
+                else:
+                    bottom, line = end, line + 1
+                out.append(line)
+            yield batch.append_column("line", pa.array(out, pa.int32()))
+
+    return boxes.repartition("page_id").sortWithinPartitions("page_id", "y0", "x0", "y1", "x1").mapInArrow(sweep, schema)
 
 
 def line_text(glyphs: DataFrame, cells: int = 35) -> DataFrame:

@@ -61,30 +61,36 @@ def map_rgb(strips: DataFrame, fn: Callable[..., Sequence[Column]], operator: st
 # --- plan-constant tables -------------------------------------------------
 
 
+def brightness_contrast_table(brightness: int = 0, contrast: int = 0) -> list[int]:
+    b, c = (max(-100, min(100, value)) for value in (brightness, contrast))
+    offset, factor = _half_away(b * 2.55), (100 + c) / 100.0
+    return [max(0, min(255, _half_away((v - 128.0) * factor + 128.0) + offset)) for v in range(256)]
+
+
 def brightness_contrast(strips: DataFrame, brightness: int = 0, contrast: int = 0) -> DataFrame:
     if brightness == 0 and contrast == 0:
         return strips
-    b, c = (max(-100, min(100, value)) for value in (brightness, contrast))
-    offset, factor = _half_away(b * 2.55), (100 + c) / 100.0
-    return apply_lut(
-        strips,
-        [max(0, min(255, _half_away((v - 128.0) * factor + 128.0) + offset)) for v in range(256)],
-    )
+    return apply_lut(strips, brightness_contrast_table(brightness, contrast))
 
 
 def invert(strips: DataFrame) -> DataFrame:
     return strips.withColumn("row", colour_samples(F.col("row"), F.col("bpp"), lambda v: F.lit(255) - v))
 
 
-def levels(strips: DataFrame, black: int = 0, white: int = 255, gamma: float = 1.0) -> DataFrame:
+def levels_table(black: int = 0, white: int = 255, gamma: float = 1.0) -> list[int] | None:
+    """None means identity."""
     if not math.isfinite(gamma):
         raise ValueError("levels gamma must be finite")
     black, white = (max(0, min(255, value)) for value in (black, white))
     if black == 0 and white == 255 and abs(gamma - 1.0) < 1e-9:
-        return strips
+        return None
     span, power = max(1, white - black), 1.0 / (gamma if gamma > 0 else 1.0)
-    table = [_byte(min(1.0, max(0.0, (v - black) / span)) ** power * 255.0) for v in range(256)]
-    return apply_lut(strips, table)
+    return [_byte(min(1.0, max(0.0, (v - black) / span)) ** power * 255.0) for v in range(256)]
+
+
+def levels(strips: DataFrame, black: int = 0, white: int = 255, gamma: float = 1.0) -> DataFrame:
+    table = levels_table(black, white, gamma)
+    return strips if table is None else apply_lut(strips, table)
 
 
 def curve_table(points: Sequence[Sequence[int]] | None) -> list[int] | None:
@@ -113,9 +119,13 @@ def curves(strips: DataFrame, points: Sequence[Sequence[int]] | None) -> DataFra
     return strips if table is None else apply_lut(strips, table)
 
 
+def flatten_table() -> list[int]:
+    return [_byte((v / 255.0 + (1.0 - v / 255.0) * 0.12 * (v / 255.0)) * 255.0) for v in range(256)]
+
+
 def flatten_paper(strips: DataFrame) -> DataFrame:
     """Lift midtones toward paper white."""
-    return apply_lut(strips, [_byte((v / 255.0 + (1.0 - v / 255.0) * 0.12 * (v / 255.0)) * 255.0) for v in range(256)])
+    return apply_lut(strips, flatten_table())
 
 
 # --- per-pixel colour maps ------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scale import cut_lineage, join_page_stats
 from ..operators import film as film_ops
-from ..operators import filters, geometry, profile, tone
+from ..operators import filters, geometry, profile, tables, tone
 from ..operators.raster import STRIP_COLUMNS
 
 OFF = ("", "off", "none", "false")
@@ -97,22 +97,59 @@ def plan_stages(prefs: dict) -> Iterator[tuple[str, bool, Callable[[DataFrame],
         yield "auto_crop", True, geometry.auto_crop
 
 
+#: Stages that move samples between lines or tasks, so that reading their outcome twice is dear.
+MOVING = {"rotate", "deskew", "auto_deskew", "sharpen", "dust_clean", "descreen", "grain_reduction", "orientation_apply", "auto_crop"}
+
+
+def table_step(name: str, prefs: dict) -> tables.Step | None:
+    """The stage as a map of single values, or None if it is none."""
+    p = {**DEFAULTS, **prefs}
+    made = {
+        "brightness_contrast": lambda: tone.brightness_contrast_table(p["brightness"], p["contrast"]),
+        "levels": lambda: tone.levels_table(p["levels_black"], p["levels_white"], p["levels_gamma"]) or list(range(256)),
+        "white_balance": lambda: tables.white_balance,
+        "curves": lambda: tone.curve_table(p["curves"]),
+        "auto_levels": lambda: tables.auto_levels(),
+        "invert": lambda: [255 - v for v in range(256)],
+        "restore_fading": lambda: tables.restore_fading,
+        "flatten": tone.flatten_table,
+    }
+    return made[name]() if name in made else None
+
+
 def process_pages(strips: DataFrame, prefs: dict) -> DataFrame:
-    """Apply the enabled stages.
+    """Apply the enabled stages; pages the crop does not fit are in ``plan_rejects``.
 
-    A stage driven by page statistics reads its input twice.  Chained, that
-    would double the work per such stage, so from the second one on the input
-    is materialised first (reliable checkpoint in the shared folder).
+    Neighbouring stages that map single values become one table per page: its statistics
+    follow from the counts at the chain's start, and only the tables are written.  The samples
+    themselves are written (reliable checkpoint in the shared folder) only where a stage that
+    moved them is followed by one that reads its input twice.
     """
     unknown = set(prefs) - set(DEFAULTS)
     if unknown:
         raise ValueError(f"unknown settings: {sorted(unknown)}")
-    doubled = False
-    for _, reads_twice, transform in plan_stages(prefs):
-        if reads_twice and doubled:
-            strips = cut_lineage(strips)
-        strips = transform(strips)
-        doubled = doubled or reads_twice
+    chain: list[tables.Step] = []
+    moved = False
+
+    def settled(twice: bool) -> DataFrame:
+        nonlocal moved
+        if twice and moved:
+            moved = False
+            return cut_lineage(strips)
+        return strips
+
+    for name, reads_twice, transform in plan_stages(prefs):
+        step = table_step(name, prefs)
+        if step is not None:
+            chain.append(step)
+            continue
+        if chain:
+            strips = tables.apply_chain(settled(any(map(callable, chain))), chain)
+            chain = []
+        strips = transform(settled(reads_twice))
+        moved |= name in MOVING
+    if chain:
+        strips = tables.apply_chain(settled(any(map(callable, chain))), chain)
     return strips.select(STRIP_COLUMNS)
 
 
@@ -127,9 +164,10 @@ def plan_rejects(strips: DataFrame, prefs: dict) -> DataFrame:
     return geometry.crop_rejected(strips, *rectangle)
 
 
-def process_by_plan(strips: DataFrame, plans: DataFrame, group: int = 64) -> DataFrame:
-    """Per-page plans: ``plans`` has page_id and ``prefs`` (JSON text).
+def process_by_plan(strips: DataFrame, plans: DataFrame, group: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Per-page plans: ``plans`` has page_id and ``prefs`` (JSON text).  Returns strips and rejects (page_id, reason).
 
+    Every page of the input is in one of the two; a page without a plan passes unchanged.
     Pages are grouped by distinct plan, so each plan compiles once.  Only the
     distinct plan texts reach the driver.  Each plan is a branch of the query,
     so after every ``group`` of them what is done is written and read again.
@@ -137,12 +175,16 @@ def process_by_plan(strips: DataFrame, plans: DataFrame, group: int = 64) -> Dat
     texts = [r["prefs"] for r in plans.select("prefs").distinct().collect()]
     tagged = join_page_stats(strips, plans.select("page_id", "prefs"), "left")
     out = tagged.where("prefs is null").select(STRIP_COLUMNS)
+    rejects = plan_rejects(tagged.where("false"), {})
     for n, text in enumerate(sorted(t for t in texts if t is not None), 1):
         part = tagged.where(F.col("prefs") == text).select(STRIP_COLUMNS)
-        out = out.unionByName(process_pages(part, json.loads(text)))
+        plan = json.loads(text)
+        out = out.unionByName(process_pages(part, plan))
+        if plan.get("crop") is not None:
+            rejects = rejects.unionByName(plan_rejects(part, plan))
         if n % group == 0:
-            out = cut_lineage(out)
-    return out
+            out, rejects = cut_lineage(out), cut_lineage(rejects)
+    return out, rejects
 
 
 def page_kernel(
@@ -152,19 +194,20 @@ def page_kernel(
     profile_id: int = 0,
     extra_white_balance: bool = False,
     recognize: Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame | None]:
+) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Plan, optional extra white balance, optional profile, optional text.
 
     ``profiles`` has profile_id, matrix, gamma; ``profile_id`` names the one to use.
-    Returns the final strips and the text table (page_id, text, confidence).
+    Returns the final strips, the text table (page_id, text, confidence) and the
+    rejects (page_id, reason): a page of the input is in the strips or the rejects.
     """
     out = process_pages(strips, prefs)
     if extra_white_balance:
-        out = tone.white_balance(out)
+        out = tables.apply_chain(out, [tables.white_balance])
     if profiles is not None:
         out = profile.apply_profile(out.withColumn("profile_id", F.lit(profile_id)), profiles)
     texts = recognize(out) if recognize else None
-    return out, texts
+    return out, texts, plan_rejects(strips, prefs)
 
 
 def page_transform(strips: DataFrame, hook: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -424,7 +424,8 @@ def _by_plan(spark, sf):
         "page_id",
         """CASE page_id % 3 WHEN 0 THEN '{"invert": true}' WHEN 1 THEN '{"flip_v": true, "desaturate": true}' END AS prefs""",
     )
-    return raster.page_checksum(page_plan.process_by_plan(strips, plans))
+    pages, _ = page_plan.process_by_plan(strips, plans)
+    return raster.page_checksum(pages)
 
 
 _add(
@@ -436,6 +437,29 @@ out AS (SELECT px.page_id, width, height, CASE WHEN px.page_id % 3 = 1 THEN heig
   CASE px.page_id % 3 WHEN 0 THEN 255 - v WHEN 1 THEN l ELSE v END AS v FROM px JOIN lum ON lum.page_id = px.page_id AND lum.y = px.y AND lum.x = px.x)"""
     + checksum_sql(3),
 )
+
+
+def _by_crop(spark, sf):
+    """Every page of the input with how it left: processed (its size) or rejected (why)."""
+    strips = page_strips(spark, sf)
+    plans = strips.where("y = 0").selectExpr(
+        "page_id",
+        """CASE page_id % 4 WHEN 0 THEN '{"crop": [3, 2, 20, 40]}' WHEN 1 THEN '{"crop": [0, 0, 9, 9], "invert": true}' WHEN 2 THEN '{"crop": [-1, 0, 4, 4]}' END AS prefs""",
+    )
+    pages, rejects = page_plan.process_by_plan(strips, plans)
+    done = pages.groupBy("page_id").agg(F.first("width").alias("width"), F.count("*").alias("lines"), F.lit(None).cast("string").alias("reason"))
+    return done.unionByName(rejects.select("page_id", F.lit(None).cast("int").alias("width"), F.lit(None).cast("bigint").alias("lines"), "reason"))
+
+
+_add(
+    "page_plan_by_crop",
+    _by_crop,
+    px_sql() + """,
+sz AS (SELECT page_id, any_value(width) AS w, any_value(height) AS h FROM px GROUP BY 1),
+rs AS (SELECT *, CASE WHEN page_id % 4 = 2 THEN 'invalid crop region' WHEN page_id % 4 = 0 AND (w < 23 OR h < 42) OR page_id % 4 = 1 AND (w < 9 OR h < 9) THEN 'crop region out of bounds' END AS reason FROM sz)
+SELECT page_id, CAST(CASE WHEN reason IS NULL THEN CASE page_id % 4 WHEN 0 THEN 20 WHEN 1 THEN 9 ELSE w END END AS INT) AS width,
+  CAST(CASE WHEN reason IS NULL THEN CASE page_id % 4 WHEN 0 THEN 40 WHEN 1 THEN 9 ELSE h END END AS BIGINT) AS lines, reason FROM rs""",
+)
 _KERNEL_PLAN = dict(invert=True, flip_v=True)
 _KERNEL_MATRIX = [[1.0, 0.1, 0.0], [0.0, 0.9, 0.05], [0.02, 0.0, 1.0]]
 
@@ -443,7 +467,7 @@ _KERNEL_MATRIX = [[1.0, 0.1, 0.0], [0.0, 0.9, 0.05], [0.02, 0.0, 1.0]]
 def _kernel(spark, sf):
     """Plan, profile, published and read back."""
     profiles = spark.createDataFrame([(0, _KERNEL_MATRIX, [1.0, 1.0, 1.0])], "profile_id int, matrix array<array<double>>, gamma array<double>")
-    pages, _ = page_plan.page_kernel(page_strips(spark, sf), _KERNEL_PLAN, profiles)
+    pages, _, _ = page_plan.page_kernel(page_strips(spark, sf), _KERNEL_PLAN, profiles)
     target = fresh_shared_path(spark, "pages")
     page_write(pages, target)
     return raster.page_checksum(read_strips(spark, target))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.operators import filters, geometry, profile, raster, textlayer, tone
+from foliomill.operators import filters, geometry, profile, raster, tables, textlayer, tone
 from foliomill.plans import page_plan
 from rasters import BPP, blur, byte, components, lcg, median, sharpen, to_arrays, to_df
 
@@ -151,10 +151,12 @@ def test_empty_page_keeps_full_frame(spark):
 
 
 def test_orientation_of_stripes(spark):
-    across = np.zeros((40, 40, 1), dtype=np.int64)
-    across[::2] = 255
-    found = geometry.orientation_detect(to_df(spark, {1: across, 2: across.transpose(1, 0, 2)})).orderBy("page_id").collect()
-    assert [r["degrees"] for r in found] == [0, 0] or [r["degrees"] for r in found][1] == 0
+    """Stripes across have all their change down the page, so they are turned; stripes of one line have none that the gradient sees."""
+    two = np.where(np.arange(40)[:, None, None] % 4 < 2, 255, 0) + np.zeros((40, 40, 1), dtype=np.int64)
+    one = np.where(np.arange(40)[:, None, None] % 2 < 1, 255, 0) + np.zeros((40, 40, 1), dtype=np.int64)
+    pages = {1: two, 2: two.transpose(1, 0, 2), 3: one, 4: one.transpose(1, 0, 2)}
+    found = geometry.orientation_detect(to_df(spark, pages)).orderBy("page_id").collect()
+    assert [r["degrees"] for r in found] == [90, 0, 0, 0]
     assert geometry.orientation_detect(to_df(spark, {3: lcg(2, 9, "Gray8")})).first()["method"] == "too-small"
 
 
@@ -209,6 +211,64 @@ def test_plan_order_and_disabled_stages(spark):
         page_plan.process_pages(df, {"blur": 1})
 
 
+CHAINS = [
+    dict(brightness=-8, contrast=20, levels_black=9, levels_white=230, white_balance=True, curves=[[0, 10], [90, 70], [255, 250]], auto_levels=True, invert=True),
+    dict(white_balance=True, saturation=20.0, auto_levels=True, restore_fading=True, flatten=True),
+    dict(auto_levels=True, sharpen_amount=0.5, restore_fading=True),
+    dict(contrast=100, white_balance=True, restore_fading=True),
+]
+
+
+@pytest.mark.parametrize("plan", CHAINS)
+def test_chains_equal_single_stages(spark, plan):
+    """Statistics taken from pushed counts give what taking them from the samples gives."""
+    pages = {1: lcg(9, 14, "Rgb8"), 2: lcg(7, 5, "Gray8"), 3: np.zeros((4, 6, 3), np.int64), 4: np.full((5, 5, 3), 255), 5: np.full((3, 4, 1), 77), 6: lcg(30, 20, "Rgb8", 5) // 3 + 60}
+    pages[7] = pages[1].copy()
+    pages[7][..., 1] = 0
+    df = to_df(spark, pages)
+    one_by_one = df
+    for _, _, transform in page_plan.plan_stages(plan):
+        one_by_one = transform(one_by_one)
+    same(to_arrays(page_plan.process_pages(df, plan)), to_arrays(one_by_one))
+
+
+def test_chains_write_only_tables(spark, monkeypatch):
+    """No samples are checkpointed for stages that map values, whatever their statistics."""
+    cut = []
+
+    def spy(module):
+        kept = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df: cut.append(df.columns) or kept(df))
+
+    spy(tables)
+    spy(page_plan)
+    df = to_df(spark, {1: lcg(9, 14, "Rgb8")})
+    page_plan.process_pages(df, {**CHAINS[0], **CHAINS[1]})
+    assert cut == [["page_id", "tables"]] * 2
+    cut.clear()
+    page_plan.process_pages(df, dict(rotate=90, auto_levels=True, saturation=9.0, restore_fading=True))
+    assert [c == ["page_id", "tables"] for c in cut] == [False, True]
+
+
+def test_alpha_pages_are_refused_in_chains(spark):
+    df = to_df(spark, {1: lcg(4, 4, "Rgba8")})
+    with pytest.raises(Exception, match="white_balance"):
+        page_plan.process_pages(df, dict(white_balance=True, invert=True)).collect()
+    out = to_arrays(page_plan.process_pages(df, dict(auto_levels=True, invert=True)))[1]
+    assert (out[..., 3] == lcg(4, 4, "Rgba8")[..., 3]).all()
+
+
+def test_pages_in_are_pages_out_or_rejected(spark):
+    df = to_df(spark, {n: lcg(4 + n, 5 + n, "Gray8") for n in range(8)})
+    plans = spark.createDataFrame([(n, t) for n, t in enumerate(['{"crop": [1, 1, 7, 8]}'] * 4 + ['{"crop": [0, -1, 2, 2]}', None, "{}"])], "page_id int, prefs string")
+    pages, rejects = page_plan.process_by_plan(df, plans, group=1)
+    done = {r.page_id for r in pages.select("page_id").distinct().collect()}
+    gone = {r.page_id: r.reason for r in rejects.collect()}
+    assert done | set(gone) == set(range(8)) and not done & set(gone) and gone[4] == "invalid crop region" and len(gone) > 2
+    out, _, bad = page_plan.page_kernel(df, {"crop": [1, 1, 7, 8], "invert": True})
+    assert {r.page_id for r in out.collect()} ^ {r.page_id for r in bad.collect()} == set(range(8))
+
+
 def test_user_transform_hook(spark):
     page = {1: lcg(6, 4, "Gray8")}
     got = page_plan.page_transform(to_df(spark, page), lambda s: s.withColumn("row", F.transform("row", lambda v: v * 0 + 7)))

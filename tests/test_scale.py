@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -56,8 +60,8 @@ def test_scan_windows_never_span_a_whole_key(spark):
     assert any("_block" in line for line in windows)
 
 
-def test_reading_lines_islands_match_one_fold(spark):
-    """A page of staggered boxes folds the same with islands as in one pass."""
+def test_reading_lines_match_one_fold(spark):
+    """Staggered boxes get the lines that a fold over all of them gives."""
     rows = [(1, (k * 37) % 90, (k // 5) * 6 + (k * 5) % 9, (k * 37) % 90 + 4, (k // 5) * 6 + (k * 5) % 9 + 5 + k % 3) for k in range(120)]
     got = textlayer.reading_lines(spark.createDataFrame(rows, "page_id int, x0 int, y0 int, x1 int, y1 int")).collect()
     lines, expected = [], {}
@@ -71,6 +75,46 @@ def test_reading_lines_islands_match_one_fold(spark):
     assert {(r["x0"], r["y0"], r["x1"], r["y1"]): r["line"] for r in got} == expected
 
 
+def test_many_staggered_boxes_are_one_sweep(spark):
+    """100,000 boxes, each reaching over the next, are numbered in seconds and over many batches."""
+    n = 100_000
+    boxes = spark.range(n).selectExpr("CAST(id % 2 AS INT) AS page_id", "CAST(id % 50 AS INT) AS x0", "CAST(id AS INT) AS y0", "CAST(id % 50 + 4 AS INT) AS x1", "CAST(id + 7 + id % 3 AS INT) AS y1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        began = time.time()
+        got = textlayer.reading_lines(boxes).toPandas()
+        assert time.time() - began < 30
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for page, part in got.groupby("page_id"):
+        bottom = line = -1
+        for y0, y1, at in part.sort_values("y0")[["y0", "y1", "line"]].itertuples(index=False):
+            bottom, line = (max(bottom, y1), line) if (y0 + y1) // 2 < bottom else (y1, line + 1)
+            assert at == line
+
+
+def test_band_of_many_runs_and_long_seams(spark):
+    """A band of 100,000 runs is united in seconds; a comb, a spiral and a zigzag over all seams are one component."""
+    runs = pa.table({"page_id": np.ones(100_000, np.int64), "width": np.full(100_000, 6400, np.int32), "height": np.full(100_000, 64, np.int32), "y": np.repeat(np.arange(50), 2000).astype(np.int32), "x0": np.tile(np.arange(2000) * 3, 50).astype(np.int32) + np.repeat(np.arange(50) % 2, 2000).astype(np.int32), "x1": np.tile(np.arange(2000) * 3 + 2, 50).astype(np.int32) + np.repeat(np.arange(50) % 2, 2000).astype(np.int32)})
+    runs = runs.append_column("node", pa.array(np.arange(100_000))).append_column("band", pa.array(np.zeros(100_000, np.int32)))
+    began = time.time()
+    labels = np.unique(textlayer._band(runs)["local"].to_numpy())
+    assert time.time() - began < 10 and len(labels) == 2000
+    rng = np.random.default_rng(2)
+    # A seam joins nodes of the band above (s - 1) and of its own.
+    edges = [(1, int(s), int(s - 1) * 10 + int(a), int(s) * 10 + int(b)) for s, a, b in zip(rng.integers(1, 40, 300), rng.integers(0, 10, 300), rng.integers(0, 10, 300))]
+    edges += [(2, k, k, k + 1) for k in range(1, 500)] + [(3, 500 - k, k, k + 1) for k in range(1, 500)]
+    got = textlayer.merge_labels(spark.createDataFrame(edges, "page_id long, seam int, a long, b long"), 8).collect()
+    want = {(p, n): (p, n) for p, _, a, b in edges for n in (a, b)}
+    for _ in range(600):
+        before = dict(want)
+        for p, _, a, b in edges:
+            want[p, a] = want[p, b] = min(want[p, a], want[p, b])
+        if before == want:
+            break
+    assert {(r.page_id, r.u): (r.page_id, r.label) for r in got} == want and len(got) == len(want)
+
+
 def test_path_claimed_often_is_one_row(spark):
     outputs = spark.range(5000).selectExpr("1 AS job_id", "'doc' AS label", "concat('a/./b/../', 'x.pdf') AS path", "CAST(NULL AS BIGINT) AS page_no")
     got = manifest.output_conflicts(outputs).collect()
