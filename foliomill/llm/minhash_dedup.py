@@ -136,24 +136,25 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> dict:
     return {"id": batch["doc_id"], "set": pa.concat_arrays(out)}
 
 
-def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose hashed doc_id has its bit set by one of the ids: all that have one of them, and few others.
+def _likely(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose hashed ``key`` has its bit set by one of the ids (column ``key``): all that have one of them, and few others.
 
     The bits are SLOTS / 8 bytes in rows of 4 KB, whatever the number of ids, so
-    they are broadcast; most texts then need not travel to be joined with the ids.
+    they are broadcast; most rows then need not travel to be joined with the ids.
+    (Join with the ids by an inner join: Spark would move a semi join in front of the filter.)
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) + 1
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
     place = F.bitmap_bit_position(F.col("_slot"))
     maps = ids.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_part")).agg(F.bitmap_construct_agg(place).alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    told = docs.withColumn("_slot", slot).withColumn("_part", F.bitmap_bucket_number("_slot")).join(F.broadcast(maps), "_part")
-    return told.where(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(docs.columns)
+    told = rows.withColumn("_slot", slot).withColumn("_part", F.bitmap_bucket_number("_slot")).join(F.broadcast(maps), "_part")
+    return told.where(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(rows.columns)
 
 
 def _known_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """id and set of the given documents; rows that repeat one with the same text count once."""
     ids = ids.select(F.col("id").alias("doc_id")).distinct()
-    texts = _likely(docs.select("doc_id", "text"), ids).join(ids, "doc_id", "left_semi")
+    texts = _likely(docs.select("doc_id", "text"), ids).join(ids, "doc_id")
     texts = texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select("doc_id", "text")
     return write_table(map_batches(texts, lambda x: _sets(x, shingle), "id bigint, set array<bigint>"), "sets")
 
@@ -168,7 +169,7 @@ def _shareable(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFra
     meet each other in many buckets, have most changes to themselves and are ruled out.
     """
     here = members.select("id", "component").distinct()
-    sets = known.join(here, "id").select("id", "component", F.explode("set").alias("shingle"))
+    sets = _likely(known, here, "id").join(here, "id").select("id", "component", F.explode("set").alias("shingle"))
     # Rows that repeat a doc_id with another text count twice here, which only loosens the bound.
     spread = sets.groupBy("shingle").agg(F.count("*").alias("docs"))
     common = sets.join(spread.where(F.col("docs") > RARE), "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("most"))
@@ -185,11 +186,12 @@ def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     ``SPREAD`` of them, so its pairs are many tasks.
     """
     heavy = pairs.groupBy("a").agg(F.floor(F.count("*") / SPREAD).cast("int").alias("most"))
-    left = known.withColumnRenamed("set", "set_a").join(heavy, known["id"] == heavy["a"]).select("a", "set_a", F.explode(F.sequence(F.lit(0), "most")).alias("salt"))
+    set_a, set_b = (known.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    left = _likely(set_a, heavy, "a").join(heavy, "a").select("a", "set_a", F.explode(F.sequence(F.lit(0), "most")).alias("salt"))
     right = (
         pairs.join(heavy, "a")
         .withColumn("salt", F.pmod(F.xxhash64("b"), F.col("most") + 1).cast("int"))
-        .join(known.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+        .join(_likely(set_b, pairs, "b"), "b")
         .select("a", "b", "salt", "set_b")
     )
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -246,13 +248,17 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     known = _known_sets(members, docs, shingle)
     leads = members.groupBy("bucket").agg(F.min(F.struct("id", "n", "most")).alias("lead"))
     done = write_table(_led(members, leads, percent), "pairs")
-    links = write_table(_confirmed(done, known, percent), "links")
+    # A document given by several rows is linked with the least document of each of its sets.
+    several = usable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    own = ranked.join(several, "doc_id").where("top <> doc_id").select(F.col("doc_id").alias("u"), F.col("top").alias("v")).distinct()
+    links = write_table(_confirmed(done, known, percent).unionByName(own), "links")
     members = members.join(leads.select("bucket", F.col("lead.id").alias("id")), ["bucket", "id"], "left_anti")
     while True:
         labels = components(links)
         open_ = write_table(_open_buckets(members, labels).select("bucket", "id", "n", "component"), "open")
         most, pairs = _shareable(open_, known)
-        bands = usable.join(open_.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+        here = open_.select(F.col("id").alias("doc_id")).distinct()
+        bands = _likely(usable, here).join(here, "doc_id").dropDuplicates(["doc_id", "k1", "k2"])
         bands = bands.select(F.col("doc_id").alias("of"), "bands")
         members = open_.drop("component").join(most, "id").where(100 * F.col("most") >= percent * F.col("n"))
         open_ = _open_buckets(members, labels).join(bands, (F.col("id") == F.col("of")) & F.array_contains("bands", F.col("bucket"))).drop("of")
@@ -286,6 +292,20 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, without those that have a smaller doc_id in their component."""
-    gone = classes(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents, with all their columns, without those that have a smaller doc_id in their component.
+
+    A doc_id with several different texts is as many documents here, so that a text which is
+    like no other is not lost; they come after all others in their components.
+    """
+    text = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("_several")).agg(F.min(text).alias("low"), F.max(text).alias("high"))
+    several = write_table(several.where("low <> high").select("_several"), "several")
+    if several.isEmpty():
+        named = docs.withColumn("_one", F.col("doc_id").cast("bigint"))
+    else:
+        apart = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        named = docs.join(several, F.col("doc_id").cast("bigint") == F.col("_several"), "left")
+        named = named.withColumn("_one", F.when(F.col("_several").isNotNull(), apart).otherwise(F.col("doc_id").cast("bigint")))
+    gone = classes(named.select(F.col("_one").alias("doc_id"), "text"), shingle, percent)
+    gone = gone.where("not kept").select(F.col("doc_id").alias("_one")).distinct()
+    return named.join(gone, "_one", "left_anti").select(docs.columns)
