@@ -63,6 +63,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("finds").cast("bigint").alias("n_finds"),
         F.coalesce(F.array_max(F.col("finds.coverage")), F.lit(0.0)).alias("coverage"),
         F.coalesce(F.array_min(F.col("finds.first")), F.lit(-1)).cast("bigint").alias("first_word"),
+        F.coalesce(F.array_max(F.col("finds.end")), F.lit(-1)).cast("bigint").alias("end_word"),
+        F.coalesce(F.array_min(F.col("finds.density")), F.lit(0.0)).alias("density"),
     )
 
 
