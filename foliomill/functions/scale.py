@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .columns import int_div
 
@@ -74,6 +77,38 @@ def lookup_join(
     return many.join(one, list(keys), how) if spread is None else salted_join(many, one, keys, spread, how)
 
 
+def _running(batches: Iterator[pa.RecordBatch], keys: Sequence[str], func: str, inclusive: bool) -> Iterator[pa.RecordBatch]:
+    """Running value inside one sorted partition, carried from batch to batch; null before a key's first value."""
+    import pandas as pd
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId()
+    held: tuple | None = None  # key and running value of the row before
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        for name in keys:
+            code = batch[name].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        first, last = (tuple(batch[name][i].as_py() for name in keys) for i in (0, n - 1))
+        part = np.cumsum(new)
+        value = pd.Series(batch["_value"].to_pandas(), dtype="Int64").groupby(part)
+        whole = value.cumsum() if func == "sum" else value.cummax()
+        # A null keeps the value before it.
+        whole = whole.groupby(part).ffill()
+        if held is not None and held[0] == first and held[1] is not None:
+            here = part == 0
+            whole[here] = whole[here].fillna(0) + held[1] if func == "sum" else whole[here].fillna(held[1]).clip(lower=held[1])
+        before = whole.groupby(part).shift(1)
+        if held is not None and held[0] == first and held[1] is not None:
+            before.iloc[0] = held[1]
+        held = (last, None if pd.isna(whole.iloc[-1]) else int(whole.iloc[-1]))
+        out = whole if inclusive else before
+        yield batch.append_column("_local", pa.array(out, pa.int64())).append_column("_block", pa.array(np.full(n, block), pa.int32()))
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -82,38 +117,37 @@ def prefix_scan(
     value: Column | None = None,
     out: str = "running",
     func: str = "sum",
-    block: int = ORDER_BLOCK,
     inclusive: bool = True,
 ) -> DataFrame:
-    """Running sum, count or max per key in the order of an integer column.
-
-    A plain window would put a whole key into one task.  Here the order column
-    is cut into blocks: block totals are aggregated first (map-side combined),
-    a window over the few block rows gives each block its starting value, and
-    the row-level window only ever sees one block of one key.
-    ``value`` defaults to 1, so the plain call yields ``row_number``.
+    """Running sum, count or max per key in the order of a column, ties by further columns.
+
+    A plain window would put a whole key into one task.  Here the rows are dealt
+    by ranges of key, order and ties, so a task gets its share of rows however sparse or equal
+    the orders are and however large a key is, and runs over them once.  Only the first
+    key of a task can have begun before it: the totals per task and key give each
+    task at most one starting value, one row per task, which is broadcast.
+    ``value`` defaults to 1, so the plain call yields ``row_number``.  Rows that agree
+    in key, order and ties stay together.
     """
-    value = F.lit(1).cast("bigint") if value is None else value
+    value = F.lit(1) if value is None else value
+    valued = df.withColumn("_value", value.cast("bigint"))
+    along = [*keys, order, *ties]
+    dealt = valued.repartitionByRange(*along).sortWithinPartitions(*along)
+    schema = StructType([*dealt.schema.fields, StructField("_local", LongType()), StructField("_block", IntegerType())])
+    local = cut_lineage(dealt.mapInArrow(lambda batches: _running(batches, keys, func, inclusive), schema))
     agg = {"sum": F.sum, "max": F.max}[func]
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("bigint")).withColumn(
-        "_value", value
-    )
-    totals = cut.groupBy(*keys, "_block").agg(agg("_value").alias("_total"))
+    totals = local.groupBy(*keys, "_block").agg(agg("_value").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_block", agg("_total").over(before).alias("_start"))
-    stop = 0 if inclusive else -1
-    inside = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(order, *ties)
-        .rowsBetween(Window.unboundedPreceding, stop)
-    )
-    local = cut.withColumn("_local", agg("_value").over(inside))
-    joined = local.join(starts, [*keys, "_block"], "left")
+    starts = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_at"), agg("_total").over(before).alias("_start"))
+    same = F.col("_block") == F.col("_at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = local.join(F.broadcast(starts.where("_start is not null")), same, "left")
     if func == "sum":
         total = F.coalesce(F.col("_start"), F.lit(0)) + F.coalesce(F.col("_local"), F.lit(0))
     else:
         total = F.greatest(F.col("_start"), F.col("_local"))
-    return joined.withColumn(out, total).drop("_block", "_value", "_local", "_start")
+    return joined.withColumn(out, total).select(*df.columns, out)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -24,16 +25,42 @@ def test_prefix_scan_equals_window(spark):
     df = hot(spark)
     w = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     for value, func, plain in ((None, "sum", F.row_number().over(Window.partitionBy("job_id").orderBy("seq"))), (F.col("v"), "sum", F.sum("v").over(w)), (F.col("v"), "max", F.max("v").over(w))):
-        for block in (1, 50, 4096, 10**9):
-            got = prefix_scan(df, ["job_id"], "seq", (), value, "got", func, block)
-            want = df.withColumn("want", plain)
-            bad = got.join(want, ["job_id", "seq"]).where("got <> want").count()
-            assert bad == 0 and got.count() == df.count()
+        got = prefix_scan(df, ["job_id"], "seq", (), value, "got", func)
+        want = df.withColumn("want", plain)
+        bad = got.join(want, ["job_id", "seq"]).where("got <> want").count()
+        assert bad == 0 and got.count() == df.count()
+
+
+@pytest.mark.parametrize("order", ["id * 1000003", "7", "CAST(id / 1000 AS BIGINT)"])
+@pytest.mark.parametrize("key", ["1", "id % 3", "CASE WHEN id % 2 = 0 THEN NULL ELSE id END"])
+def test_scan_tasks_are_bounded(spark, order, key):
+    """Sparse, equal and few orders of one key, few and many keys: every task has its share, the input is read once."""
+    n = 8000
+    df = spark.range(n).selectExpr(f"{key} AS k", f"{order} AS at", "(id * 7919) % 8000 AS tie", "CASE WHEN id % 5 > 0 THEN id % 11 - 3 END AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for func in ("sum", "max"):
+            for inclusive in (True, False):
+                found = prefix_scan(df, ["k"], "at", ("tie",), F.col("v"), "got", func, inclusive)
+                got = sorted((repr(r.k), r.at, r.tie, r.got) for r in found.collect())
+                want, held = [], {}
+                for r in sorted(df.collect(), key=lambda r: (r.at, r.tie)):
+                    was = held.get(r.k)
+                    now = was if r.v is None else r.v if was is None else was + r.v if func == "sum" else max(was, r.v)
+                    held[r.k] = now
+                    told = now if inclusive else was
+                    want.append((repr(r.k), r.at, r.tie, (told or 0) if func == "sum" else told))
+                assert got == sorted(want, key=lambda x: x[:3])
+        # The partition sizes of what was written.
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < n / 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_prefix_scan_exclusive_and_negative_order(spark):
     df = spark.createDataFrame([(1, -5, 2), (1, 0, 3), (1, 7, 4)], "job_id int, seq int, v int")
-    got = prefix_scan(df, ["job_id"], "seq", (), F.col("v"), "got", block=4, inclusive=False).orderBy("seq").collect()
+    got = prefix_scan(df, ["job_id"], "seq", (), F.col("v"), "got", inclusive=False).orderBy("seq").collect()
     assert [r["got"] for r in got] == [0, 2, 5]
 
 
