@@ -7,8 +7,9 @@ the logistic losses of all bits against its codeword, each weighted by how well
 its classifier did; the least loss wins.  A text is ambiguous when the second
 language is nearly as close.
 
-The fit uses about ``PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most
-frequent languages, both parameters.  Defined results: ``und`` with score 0 for a
+Every language of the training rows is learned.  The fit uses about ``PER_LANGUAGE`` documents
+of each, fewer where that would be more than ``ROWS`` in all, but two at least, both
+parameters; the languages themselves are a list that every worker holds.  Defined results: ``und`` with score 0 for a
 null text, a text without a letter, or when nothing could be learned; with one
 learned language every other text gets it with score 1; rows without lang teach
 nothing; extra columns take no part.
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, map_batches
-from .learning import Adam, sample, sigmoid, texts_of
+from .learning import Adam, sigmoid, texts_of
 from .textbytes import LOWER, SPACE, mix, text_bytes, text_slices
 
 PER_LANGUAGE = 1200
-LANGUAGES = 200
+ROWS = 12_000
 SIZE = 2048
 AMBIGUOUS = 0.2
 _ORDERS = (1, 2, 3, 4)
@@ -62,7 +63,7 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
-    """n rows of signs; every two-way split for up to five languages, else the best of random codes."""
+    """n rows of signs; every two-way split for up to five languages, else the best of random codes (beyond 300 one, half as long again)."""
     if n < 2:
         return np.ones((n, 1))
     if n <= 5:
@@ -70,6 +71,8 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
         return np.where((splits[None, :] >> np.arange(n)[:, None]) & 1, 1.0, -1.0)
     width = max(15, int(np.ceil(8 * np.log2(n))))
     random = np.random.default_rng(seed)
+    if n > 300:
+        return random.choice([-1.0, 1.0], (n, width * 3 // 2))
     best, far = np.zeros((n, 0)), -1
     for _ in range(200):
         code = random.choice([-1.0, 1.0], (n, width))
@@ -94,9 +97,8 @@ class Decoder:
         if len(self.languages) < 2:
             return np.zeros(n, np.int64), np.ones(n), np.zeros(n, bool)
         margin = np.clip((features(column) - self.mean) @ self.weight + self.bias, -20, 20)
-        loss = np.zeros((n, len(self.languages)))
-        for k, word in enumerate(self.code):
-            loss[:, k] = np.log1p(np.exp(-margin * word)) @ self.trust
+        # The weighted loss of each bit if the codeword has it, and if it does not.
+        loss = (np.log1p(np.exp(-margin)) * self.trust) @ (self.code > 0).T + (np.log1p(np.exp(margin)) * self.trust) @ (self.code < 0).T
         best = loss.argmin(axis=1)
         share = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
@@ -126,7 +128,7 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 13) -> D
     return Decoder(languages, code, mean.astype(np.float32), weight.value.astype(np.float32), bias.value, trust / trust.mean())
 
 
-def learn(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Decoder:
+def learn(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Decoder:
     """Fit on documents for which ``learn`` holds and whose lang is known.
 
     Languages have their own sampling shares, so a frequent one does not crowd
@@ -134,21 +136,29 @@ def learn(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, lang
     """
     given = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learn)
     given = given.select("doc_id", F.col("lang").alias("label"))
-    top = given.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(languages).collect()
-    names = sorted(r.label for r in top)
+    known = given.groupBy("label").agg(F.count("*").alias("n")).collect()
+    names = sorted(r.label for r in known)
     if not names:
         return fit(np.zeros((0, SIZE), np.float32), np.zeros(0, int), [])
-    shares = F.create_map(*[F.lit(v) for r in top for v in (r.label, min(1.0, per_language / r.n))])
-    picked = sample(given.where(F.col("label").isin(names)).distinct(), shares[F.col("label")], 2 * per_language * len(names))
+    per_language = max(2, min(per_language, rows // len(names)))
+    shares = docs.sparkSession.createDataFrame([(r.label, min(1.0, per_language / r.n)) for r in known], "label string, share double")
+    # A share of 1 takes all rows of a rare language; the others are picked by a hash, about as many as wanted.
+    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40))
+    picked = given.distinct().join(F.broadcast(shares), "label").where(place < F.col("share") * (1 << 40)).select("doc_id", "label")
 
     def run(batch: pa.RecordBatch) -> dict:
+        """The features that are not zero, which is what travels to the driver."""
         x = features(batch["text"])
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * SIZE, pa.int32()), pa.array(x.ravel()))
-        return {"doc_id": batch["doc_id"], "label": batch["label"], "x": flat}
+        row, at = np.nonzero(x)
+        offsets = pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32())
+        lists = (pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (at.astype(np.int16), x[row, at]))
+        return {"doc_id": batch["doc_id"], "label": batch["label"], **dict(zip(("at", "x"), lists, strict=True))}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = map_batches(texts_of(docs, picked), run, f"doc_id {kind}, label string, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
+    got = map_batches(texts_of(docs, picked), run, f"doc_id {kind}, label string, at array<smallint>, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    x = np.zeros((got.num_rows, SIZE), np.float32)
+    lists = got["at"].combine_chunks()
+    x[np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = got["x"].combine_chunks().flatten().to_numpy()
     place = {name: k for k, name in enumerate(names)}
     return fit(x, np.array([place[v] for v in got["label"].to_pylist()], int), names)
 

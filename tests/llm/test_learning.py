@@ -90,6 +90,21 @@ def test_fm_formula():
     assert model.logit(np.zeros(3, int), np.array(picked), 1)[0] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("languages", [230, 320])
+def test_every_language_is_learned(spark, languages):
+    """More languages than a short list holds, one of them with most of the rows; all come out again."""
+    pick = np.random.default_rng(5)
+    own = {k: ["".join(chr(97 + int(c)) for c in pick.integers(0, 26, 7)) for _ in range(6)] for k in range(languages)}
+    rows = [(i, " ".join(pick.choice(own[k], 12)), f"l{k:03d}") for i, k in enumerate([k for k in range(languages) for _ in range(4)] + [7] * 500)]
+    docs = frame(spark, rows)
+    model = ecoc_langid.learn(docs, F.lit(True), rows=2000)
+    assert len(model.languages) == languages
+    got = ecoc_langid.predicted(docs, model).select("doc_id", "lang_pred").collect()
+    lang = {i: g for i, _, g in rows}
+    assert np.mean([lang[r.doc_id] == r.lang_pred for r in got]) > 0.97
+    assert len({r.lang_pred for r in got}) >= 0.97 * languages
+
+
 def test_languages_odd_rows(spark):
     model = ecoc_langid.learn(odd(spark), F.lit(True))
     got = {}
