@@ -137,7 +137,7 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> dict:
 
 
 def _likely(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose hashed ``key`` has its bit set by one of the ids (column ``key``): all that have one of them, and few others.
+    """The rows whose hashed ``key`` has its bit set by one of the ids: all that have one of them, and few others.
 
     The bits are SLOTS / 8 bytes in rows of 4 KB, whatever the number of ids, so
     they are broadcast; most rows then need not travel to be joined with the ids.
@@ -169,7 +169,7 @@ def _shareable(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFra
     meet each other in many buckets, have most changes to themselves and are ruled out.
     """
     here = members.select("id", "component").distinct()
-    sets = _likely(known, here, "id").join(here, "id").select("id", "component", F.explode("set").alias("shingle"))
+    sets = known.join(here, "id").select("id", "component", F.explode("set").alias("shingle"))
     # Rows that repeat a doc_id with another text count twice here, which only loosens the bound.
     spread = sets.groupBy("shingle").agg(F.count("*").alias("docs"))
     common = sets.join(spread.where(F.col("docs") > RARE), "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("most"))
@@ -187,11 +187,11 @@ def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """
     heavy = pairs.groupBy("a").agg(F.floor(F.count("*") / SPREAD).cast("int").alias("most"))
     set_a, set_b = (known.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    left = _likely(set_a, heavy, "a").join(heavy, "a").select("a", "set_a", F.explode(F.sequence(F.lit(0), "most")).alias("salt"))
+    left = set_a.join(heavy, "a").select("a", "set_a", F.explode(F.sequence(F.lit(0), "most")).alias("salt"))
     right = (
         pairs.join(heavy, "a")
         .withColumn("salt", F.pmod(F.xxhash64("b"), F.col("most") + 1).cast("int"))
-        .join(_likely(set_b, pairs, "b"), "b")
+        .join(set_b, "b")
         .select("a", "b", "salt", "set_b")
     )
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -257,19 +257,16 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         labels = components(links)
         open_ = write_table(_open_buckets(members, labels).select("bucket", "id", "n", "component"), "open")
         most, pairs = _shareable(open_, known)
-        here = open_.select(F.col("id").alias("doc_id")).distinct()
-        bands = _likely(usable, here).join(here, "doc_id").dropDuplicates(["doc_id", "k1", "k2"])
-        bands = bands.select(F.col("doc_id").alias("of"), "bands")
+        bands = open_.groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_set("bucket")).alias("bands"))
         members = open_.drop("component").join(most, "id").where(100 * F.col("most") >= percent * F.col("n"))
-        open_ = _open_buckets(members, labels).join(bands, (F.col("id") == F.col("of")) & F.array_contains("bands", F.col("bucket"))).drop("of")
+        open_ = _open_buckets(members, labels).join(bands, F.col("id") == F.col("of")).drop("of")
         open_ = write_table(open_, "open")
         few = F.col("crossing") <= PARTNERS * F.col("size")
         small, large = open_.where(few), open_.where(~few)
         other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"), F.col("bands").alias("bb"))
         met = (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & _alike("n", "most", "nb", "mb", percent)
-        # A pair that shares several buckets is taken in the first of them.
-        shared = F.filter(F.zip_with("bands", "bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-        met = (F.col("at") == F.col("bucket")) & met & (F.get(shared, F.lit(0)) == F.col("at"))
+        # A pair that shares several open buckets is taken in the first of them.
+        met = (F.col("at") == F.col("bucket")) & met & (F.array_min(F.array_intersect("bands", "bb")) == F.col("at"))
         pairs = pairs.unionByName(small.withColumnRenamed("bucket", "at").join(other, met).select(F.col("id").alias("a"), "b"))
         # A bucket with more of them puts its least classes by a hash of their ids, about the root of its size, before all others.
         way = F.pmod(F.xxhash64("id"), F.floor(F.sqrt("size")))
@@ -297,9 +294,13 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     A doc_id with several different texts is as many documents here, so that a text which is
     like no other is not lost; they come after all others in their components.
     """
-    text = F.xxhash64("text")
-    several = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("_several")).agg(F.min(text).alias("low"), F.max(text).alias("high"))
-    several = write_table(several.where("low <> high").select("_several"), "several")
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("_several"), "text").where("_several is not null")
+    twice = ids.groupBy("_several").agg(F.count("*").alias("rows")).where("rows > 1").select("_several")
+    several = write_table(twice, "several")
+    if not several.isEmpty():
+        text = F.xxhash64("text")
+        texts = ids.join(several, "_several").groupBy("_several").agg(F.min(text).alias("low"), F.max(text).alias("high"))
+        several = write_table(texts.where("low <> high").select("_several"), "several")
     if several.isEmpty():
         named = docs.withColumn("_one", F.col("doc_id").cast("bigint"))
     else:
