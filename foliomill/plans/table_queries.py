@@ -495,6 +495,27 @@ UNION ALL SELECT p_partkey, 'adf_duplex', 'range', NULL, NULL, p_size + 50, p_si
 )
 
 
+# One document in seven is cut off; sizes and an input source that no path names.
+_SOURCE_XML = """concat('<s:Caps xmlns:s="http://example.org/s"><s:MakeAndModel> ', p_brand, ' </s:MakeAndModel><s:Platen><s:MaxWidth>', p_size * 100, '</s:MaxWidth><s:MaxHeight>',
+ CASE WHEN p_size % 4 = 0 THEN 'tall' ELSE CAST(p_size * 140 AS VARCHAR(20)) END, '</s:MaxHeight></s:Platen>', CASE WHEN p_size % 3 = 0 THEN '<s:InputSource>Feeder</s:InputSource>' ELSE '' END,
+ '<s:FilmUnit><s:MaxScanWidth>36</s:MaxScanWidth></s:FilmUnit>', CASE WHEN p_partkey % 7 = 0 THEN '<s:Open>' ELSE '' END, '</s:Caps>')"""
+
+
+def _sources(spark, sf):
+    documents = spread_small_input(table(spark, sf, "part")).selectExpr("p_partkey AS device", f"{_SOURCE_XML} AS xml")
+    return capabilities.capability_sources(documents).withColumn("error", F.col("error").isNotNull())
+
+
+_add(
+    "capability_sources",
+    _sources,
+    """SELECT p_partkey AS device, source, trim(p_brand) AS make_and_model, CAST(CASE source WHEN 'platen' THEN p_size * 100 WHEN 'film' THEN 36 END AS BIGINT) AS max_width,
+  CAST(CASE WHEN source = 'platen' AND p_size % 4 <> 0 THEN p_size * 140 END AS BIGINT) AS max_height, false AS error
+FROM part, (VALUES ('platen'), ('film'), ('default'), ('adf_simplex')) t(source) WHERE p_partkey % 7 <> 0 AND (source <> 'adf_simplex' OR p_size % 3 = 0)
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, true FROM part WHERE p_partkey % 7 = 0""",
+)
+
+
 def _pick(spark, sf):
     requests = table(spark, sf, "lineitem").selectExpr(
         "concat(l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey, '-', CAST(l_quantity AS INT)) AS request_id", "l_partkey AS device",

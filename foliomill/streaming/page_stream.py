@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.raster import to_strips
-from ..operators.tone import channel_means, sample_counts
+from ..operators.tone import sample_counts
 from ..sources.files import page_number
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -42,7 +42,7 @@ def run_page_stream(
         if limit is not None:
             beyond = batch.agg(F.max("number")).first()[0]
             if beyond is not None and beyond > limit:
-                raise ValueError(f"emitted page {beyond} beyond the requested limit {limit}")
+                raise ValueError(f"page {beyond} came, which is beyond the requested limit of {limit}")
         handle(batch.orderBy("number"), batch_id)
 
     return (
@@ -56,12 +56,15 @@ def write_page_stats(pages: DataFrame, target: str, checkpoint: str):
     trigger so a replay leaves one copy."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        strips = to_strips(batch)
-        means = channel_means(strips)
-        spread = sample_counts(strips, pooled=True).groupBy("page_id").agg(
-            F.count(F.lit(1)).alias("levels"), F.sum("n").alias("samples")
+        # Means, levels and sizes all follow from the counts, so the samples are unpacked once.
+        counts = sample_counts(to_strips(batch)).groupBy("page_id", "v").agg(
+            *[F.sum(F.when(F.col("c") == c, F.col("n"))).alias(f"n{c}") for c in range(3)], F.sum("n").alias("n")
         )
-        means.join(spread, "page_id").write.mode("overwrite").parquet(f"{target}/trigger={batch_id}")
+        counts.groupBy("page_id").agg(
+            *[F.try_divide(F.sum(F.col("v") * F.col(f"n{c}")).cast("double"), F.sum(f"n{c}")).alias(f"mean_{c}") for c in range(3)],
+            F.count(F.lit(1)).alias("levels"),
+            F.sum("n").alias("samples"),
+        ).write.mode("overwrite").parquet(f"{target}/trigger={batch_id}")
 
     return (
         pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()

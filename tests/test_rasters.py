@@ -199,6 +199,13 @@ def test_it8_chart_gives_unit_gains(spark):
     assert fit[1]["gain_r"] is None and fit[1]["error"] is not None
 
 
+def test_patch_means_of_other_pages_are_errors(spark):
+    df = to_df(spark, {1: lcg(60, 50, "Rgb8"), 2: lcg(60, 50, "Gray8"), 3: lcg(6, 5, "Rgba8")})
+    got = profile.it8_patch_means(df).collect()
+    assert sorted((r.page_id, r.patch) for r in got if r.error is None) == [(1, k) for k in range(30)]
+    assert sorted((r.page_id, r.patch, r.mean_r) for r in got if r.error) == [(2, None, None), (3, None, None)]
+
+
 def test_plan_order_and_disabled_stages(spark):
     page = {1: lcg(6, 4, "Rgb8")}
     df = to_df(spark, page)

@@ -230,6 +230,38 @@ def test_capability_ranges(spark):
     assert [(r["source"], r["step_x"], r["step_y"], r["max_x"]) for r in got] == [("adf_duplex", 25, 1, 1200)]
 
 
+CAPS = """<a:ScannerCapabilities xmlns:a="http://x/a"><a:MakeAndModel>  Old </a:MakeAndModel><a:MakeAndModel>Maker 7</a:MakeAndModel>
+<a:ColorMode>Loose</a:ColorMode><a:InputSource>ADF Duplex</a:InputSource><a:InputSource>nothing</a:InputSource>
+<a:PlatenCaps><a:MaxWidth> 2550 </a:MaxWidth><a:MaxHeight>x</a:MaxHeight><a:MaxHeight>3300</a:MaxHeight>
+<a:ColorMode>RGB24</a:ColorMode><a:ColorMode>rgb24 </a:ColorMode><a:ColorMode> </a:ColorMode>
+<a:Resolution><a:XResolution>300</a:XResolution><a:YResolution>0</a:YResolution></a:Resolution>
+<a:Resolution><a:XResolution>+300</a:XResolution><a:YResolution>600</a:YResolution></a:Resolution>
+<a:XResolution>9</a:XResolution><a:Min>4</a:Min></a:PlatenCaps>
+<a:Transparency><a:FeederCaps><a:MaxScanWidth>99999999999</a:MaxScanWidth></a:FeederCaps></a:Transparency></a:ScannerCapabilities>"""
+
+
+def test_capability_documents_in_one_pass(spark):
+    """Names, limits and sources of one document; bad documents are error rows and spoil no other."""
+    deep = "<a>" * 200 + "</a>" * 200
+    docs = [("d", CAPS), ("cut", CAPS[:300]), ("deep", deep), ("none", None), ("dtd", "<!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>"), ("empty", "<a/>")]
+    df = spark.createDataFrame(docs, "device string, xml string").repartition(2)
+    values = {(r.source, r.kind, r.value) for r in capabilities.capability_values(df).where("device = 'd'").collect()}
+    assert values == {("default", "color_mode", "Loose"), ("platen", "color_mode", "RGB24")}
+    pairs = [(r.device, r.source, r.kind, r.x, r.y) for r in capabilities.capability_resolutions(df).collect()]
+    assert pairs == [("d", "platen", "discrete", 300, 600)]
+    got = {(r.device, r.source): (r.make_and_model, r.max_width, r.max_height) for r in capabilities.capability_sources(df).where("error is null").collect()}
+    assert got == {
+        ("d", "default"): ("Maker 7", None, None),
+        ("d", "adf_duplex"): ("Maker 7", None, None),
+        ("d", "platen"): ("Maker 7", 2550, 3300),
+        ("d", "adf_simplex"): ("Maker 7", None, None),
+        ("d", "film"): ("Maker 7", None, None),  # the element around the feeder's
+        ("empty", "default"): (None, None, None),
+    }
+    bad = {r.device for r in capabilities.capability_sources(df).where("error is not null").collect()}
+    assert bad == {"cut", "deep", "none", "dtd"}
+
+
 def test_containers_and_page_numbers(spark):
     content = [b"\x89PNG\r\n\x1a\n....", b"RIFF\0\0\0\0WEBP", b"RIFF\0\0\0\0WAVE", b"", b"\xff\x0a", b"%PDF-1.7"]
     assert many(spark, [bytearray(c) for c in content], files.container_of, "binary") == ["png", "webp", None, None, "jxl", "pdf"]
