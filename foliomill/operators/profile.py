@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import IT8_BASES, IT8_COLUMNS, IT8_ROWS, IT8_SCALES
-from ..functions.columns import array_total, clamp, clamp_byte, int_div, to_int
+from ..functions.columns import clamp, clamp_byte, int_div, to_int
 from ..functions.scale import lookup_join
 from .raster import STRIP_COLUMNS, refuse_alpha
 from .tone import rgb_pixels
@@ -34,8 +34,18 @@ def _centre(index: Column, size: Column, limit: Column) -> tuple[Column, Column]
 def it8_patch_means(strips: DataFrame) -> DataFrame:
     """page_id, patch, mean_r, mean_g, mean_b (0..1) of the 30 cell centres, error.
 
+    Only three-channel pages are charts; any other page is one row with an error.
+    """
+    other = strips.where("y = 0 AND bpp <> 3").select("page_id", F.lit("not a three-channel page").alias("error"))
+    means = _chart_means(strips).withColumn("error", F.lit(None).cast("string"))
+    return means.unionByName(other, allowMissingColumns=True)
+
+
+def _chart_means(strips: DataFrame) -> DataFrame:
+    """The means of the pages that are charts.
+
     Line sums are built inside the strip; a cell that lies outside a small page
-    reads as zero.  Only three-channel pages are charts; any other page is one row with an error.
+    reads as zero.
     """
     rgb = strips.where("bpp = 3")
     cell_w = F.greatest(to_int(int_div(F.col("width"), IT8_COLUMNS)), F.lit(1))
@@ -68,16 +78,11 @@ def it8_patch_means(strips: DataFrame) -> DataFrame:
         "page_id", F.explode(F.sequence(F.lit(0), F.lit(IT8_COLUMNS * IT8_ROWS - 1))).alias("patch")
     )
     scale = F.when(F.coalesce("n", F.lit(0)) > 0, F.lit(1.0) / (F.col("n") * F.lit(255.0))).otherwise(0.0)
-    means = every.join(sums, ["page_id", "patch"], "left").select(
+    return every.join(sums, ["page_id", "patch"], "left").select(
         "page_id",
         "patch",
         *[(F.coalesce(f"s{c}", F.lit(0)) * scale).alias(f"mean_{n}") for c, n in enumerate("rgb")],
-        F.lit(None).cast("string").alias("error"),
-    )
-    other = strips.where("bpp <> 3 and y = 0").select(
-        "page_id", F.lit(None).cast("int").alias("patch"), *[F.lit(None).cast("double").alias(f"mean_{n}") for n in "rgb"], F.lit("not a three-channel page").alias("error")
     )
-    return means.unionByName(other)
 
 
 def it8_profile(strips: DataFrame) -> DataFrame:
@@ -86,11 +91,11 @@ def it8_profile(strips: DataFrame) -> DataFrame:
     A page that is not a chart, because it has not three channels, is a row with an error.
     """
     ref = it8_reference(strips.sparkSession)
-    names = [f"{side}_{n}" for side in ("mean", "ref") for n in "rgb"]
-    joined = lookup_join(it8_patch_means(strips), ref, ["patch"], how="inner")
-    # Thirty patches, summed in their order, so that the sums do not depend on the order of rows.
-    listed = joined.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("patch", *names))).alias("patches"))
-    sums = listed.select("page_id", *[array_total(F.col("patches")[n], "double").alias(n) for n in names])
+    sums = (
+        lookup_join(_chart_means(strips), ref, ["patch"], how="inner")
+        .groupBy("page_id")
+        .agg(*[F.sum(f"{side}_{n}").alias(f"{side}_{n}") for side in ("mean", "ref") for n in "rgb"])
+    )
 
     def gain(n: str) -> Column:
         value = F.try_divide(F.col(f"ref_{n}"), F.col(f"mean_{n}"))

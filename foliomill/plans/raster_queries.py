@@ -661,16 +661,16 @@ SELECT page_id, patch, round(CAST(mean_r AS DOUBLE) - r, 9) AS off_r, round(CAST
 _register(
     "it8_profile",
     lambda spark, sf: profile.it8_profile(page_strips(spark, sf)).select(
-        "page_id", *[F.round(f"gain_{n}", 6).alias(f"gain_{n}") for n in "rgb"], "error"
+        "page_id", *[F.round(f"gain_{n}", 9).alias(f"gain_{n}") for n in "rgb"], "error"
     ),
     px_sql() + "," + _IT8 + """,
 base AS (SELECT * FROM (VALUES (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (0, 1, 1), (1, 0, 1)) t(r, g, b)),
 refs AS (SELECT r * s AS r, g * s AS g, b * s AS b FROM base, (SELECT unnest([1.0, 0.75, 0.5, 0.3]::DOUBLE[]) AS s)
   UNION ALL SELECT i / 5.0::DOUBLE, i / 5.0::DOUBLE, i / 5.0::DOUBLE FROM range(6) t(i)),
 ref AS (SELECT sum(r) AS r, sum(g) AS g, sum(b) AS b FROM refs),
-tot AS (SELECT page_id, sum(mean_r ORDER BY patch) AS r, sum(mean_g ORDER BY patch) AS g, sum(mean_b ORDER BY patch) AS b FROM means GROUP BY page_id),
+tot AS (SELECT page_id, sum(mean_r) AS r, sum(mean_g) AS g, sum(mean_b) AS b FROM means GROUP BY page_id),
 gn AS (SELECT page_id, """ + ", ".join(f"CASE WHEN tot.{n} > 1e-9 AND ref.{n} / tot.{n} <= 16.0 THEN ref.{n} / tot.{n} END AS g{n}" for n in "rgb") + """ FROM tot, ref)
-SELECT page_id, round(gr, 6) AS gain_r, round(gg, 6) AS gain_g, round(gb, 6) AS gain_b,
+SELECT page_id, round(gr, 9) AS gain_r, round(gg, 9) AS gain_g, round(gb, 9) AS gain_b,
   CASE WHEN gr IS NULL OR gg IS NULL OR gb IS NULL THEN 'capture too dark or a channel is dead' END AS error FROM gn""",
 )
 _MATRIX = [[1.1, -0.05, 0.02], [0.03, 0.94, 0.06], [-0.02, 0.08, 1.2]]
