@@ -37,6 +37,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the broadcasts and shuffle files of steps that are done.
+
+    Spark frees them, on executors too, when the driver's garbage collector finds that nobody
+    holds them; between many small steps it may not run for long.
+    """
+    spark._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow`` with batches of about BATCH_BYTES, however long the texts are.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, write_table
+from .common import map_batches, release, write_table
 from .components import components
 from .textbytes import LOWER, NOT_SPACE, mix, text_bytes, text_slices, words
 
@@ -254,6 +254,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     links = write_table(_confirmed(done, known, percent).unionByName(own), "links")
     members = members.join(leads.select("bucket", F.col("lead.id").alias("id")), ["bucket", "id"], "left_anti")
     while True:
+        release(docs.sparkSession)
         labels = components(links)
         open_ = write_table(_open_buckets(members, labels).select("bucket", "id", "n", "component"), "open")
         most, pairs = _shareable(open_, known)
@@ -281,6 +282,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         if large.isEmpty():
             labels = components(links)
             break
+    release(docs.sparkSession)
     linked = ranked.join(labels.withColumnRenamed("node", "top"), "top", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "top").alias("component_id")
     )
